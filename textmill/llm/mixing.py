@@ -2,10 +2,10 @@
 
 Every document of a source expects target / source_size copies. Expected copies are summed up along the source, one
 offset is added, and a document is emitted once per integer boundary that its share crosses. Within a source, documents
-stand in the order of their size: neighbours are alike, so whichever of them is taken, the words taken stay near the
-target. The offset is drawn from the source's name: of a fixed number of draws, the one whose words come nearest counts.
+stand in the order of a hash of their ids. The offset is drawn from the source's name: of a fixed number of draws, the
+one whose words come nearest to the target counts.
 
-Prefix sums need no source in one task: the slim rows (id, source, size) are range-partitioned by source, size and id,
+Prefix sums need no source in one task: the slim rows (id, source, size) are range-partitioned by source, hash and id,
 numbered within partitions by monotonically_increasing_id, and only the counts per partition and source are summed up.
 
 Defined cases: null text: size 0; null source: a source of its own, last in the order; a source of size 0 gets no
@@ -50,16 +50,25 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: in
     return s.select("source", "source_size", "weight", F.when(F.col("stopped"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
+def place_of(doc_id: Column, seed: str) -> Column:
+    """A number that depends on the id and the seed alone, for the order within a source."""
+    return _md5_number(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))), 15).cast("long")
+
+
+def _md5_number(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10)
+
+
 def offset(source: Column, draw: int, seed: str) -> Column:
     """A number in [0, 1) that depends on the source's name, the draw and the seed alone."""
     text = F.concat(F.lit(f"{seed}:{draw}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null")))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return _md5_number(text, 8).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, draws: int = 16, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, draws: int = 64, seed: str = "mix") -> DataFrame:
     """docs: doc_id, source, text. One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    place = ["source", "size", "doc_id"]
+    slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_of(F.col("doc_id"), seed).alias("place")), "mix-sizes")
+    place = ["source", "place", "doc_id", "size"]
     rows = written(slim.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     part = F.shiftright("row", ROW_BITS)
     parts = rows.groupBy("source", part.alias("part")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -80,8 +89,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, draws
 
     # each draw's words by source: sums of the slim rows only
     us = [offset(F.col("source"), k, seed) for k in range(draws)]
-    rank1 = ranked(parts.withColumns({f"u{k}": u for k, u in enumerate(us)}))
-    tried = rank1.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(F.col(f"u{k}")) * F.col("size")).alias(f"t{k}") for k in range(draws)])
+    drawn = ranked(parts.withColumns({f"u{k}": u for k, u in enumerate(us)}))
+    tried = drawn.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(F.col(f"u{k}")) * F.col("size")).alias(f"t{k}") for k in range(draws)])
     miss = F.array(*[F.abs(F.col(f"t{k}") - F.col("target")) for k in range(draws)])
     best = tried.select(F.col("source").alias("s"), F.array_position(miss, F.array_min(miss)).alias("draw"))
     parts = parts.join(best, F.col("source").eqNullSafe(F.col("s"))).drop("s")
