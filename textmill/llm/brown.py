@@ -24,9 +24,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ HELD_OUT_FOLDS = 10
 
 #: Distinct words that a task counts before it hands them on, and forms that it remembers.
 _FLUSH = 300_000
+#: Rows of a batch that a task hands on.
+_ROWS = 20_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -53,25 +57,24 @@ def form_unit(word: bytes) -> int:
 def count_words(texts: DataFrame) -> DataFrame:
     """texts: text (binary). word, c; the end token once per text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in seen], "c": list(seen.values())})
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = iter(seen.items())
+            while some := list(islice(rows, _ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w, _ in some], pa.string()), pa.array([c for _, c in some], pa.int64())], ["word", "c"])
+            seen.clear()
 
-        ends = 0
         for b in batches:
             for text in b["text"]:
-                seen.update(tokens(text))
-                ends += 1
+                seen.update(tokens(text.as_py()))
+                seen[END.encode()] += 1
                 if len(seen) > _FLUSH:
-                    yield out()
-                    seen.clear()
-        yield out()
-        if ends:
-            yield pd.DataFrame({"word": [END], "c": [ends]})
+                    yield from out()
+        yield from out()
 
-    return texts.mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -198,6 +201,7 @@ def held_out(doc_id):
     return crc32_mod(doc_id, HELD_OUT_FOLDS) == 0
 
 
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 _ROW = "row long, doc_id string, word string, times long, class int, n_tokens long, n_known long, base double, score double"
 
 
@@ -213,33 +217,38 @@ def score_texts(docs: DataFrame, head_size: int = HEAD) -> DataFrame:
     head = spark.sparkContext.broadcast(Head(top["word"].tolist(), top["c"].tolist()))  # head_size words of HEAD_BYTES at most
     model = Model(bigram_counts(learning, head), vocabulary_by_unit(vocabulary, head), n, v)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
         classes = model.of[known.units]
         emission, base = model.emission(known.counts, classes), model.base(known.counts)
         end_count = known.counts[known.place[END.encode()]] if END.encode() in known.place else 0
         end = np.array([end_count])
         end_emission, end_base = float(model.emission(end, model.of[:1])[0]), float(model.base(end)[0])
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
+
         for b in batches:
-            sums, rare_rows = [], []
-            for row, doc_id, text in zip(b["row"], b["doc_id"], b["text"], strict=True):
-                words = tokens(text)
+            rows = []
+            for row, doc_id, text in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["text"], strict=True):
+                words = tokens(text.as_py())
                 at, units = known.look_up(words)
                 c = np.concatenate(([0], model.of[units], [0]))
                 found = at[at >= 0]
                 rare = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
                 total = float(model.transitions[c[:-1], c[1:]].sum() + emission[found].sum()) + end_emission
                 # a word of its own for the row of sums: no text has it, and rows spread evenly over the join
-                sums.append((row, doc_id, f"\n{row}", 0, 0, len(words) + 1, len(found) + (end_count > 0), float(base[found].sum()) + end_base, total))
-                rare_rows += [(row, None, w.decode("utf-8", "replace"), k, int(model.of[form_unit(w)]), 0, 0, 0.0, 0.0) for w, k in rare.items()]
-                if len(rare_rows) > 20_000:
-                    yield pd.DataFrame(rare_rows, columns=names)
-                    rare_rows = []
-            yield pd.DataFrame(sums + rare_rows, columns=names)
+                rows.append((row, doc_id, f"\n{row}", 0, 0, len(words) + 1, len(found) + (end_count > 0), float(base[found].sum()) + end_base, total))
+                rows += [(row, None, w.decode("utf-8", "replace"), k, int(model.of[form_unit(w)]), 0, 0, 0.0, 0.0) for w, k in rare.items()]
+                if len(rows) > _ROWS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
     names = [x.split()[0] for x in _ROW.split(", ")]
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), text)
-    parts = numbered.mapInPandas(run, _ROW)
+    parts = numbered.mapInArrow(run, _ROW)
     met = parts.join(vocabulary.withColumnRenamed("word", "known_word"), F.col("word") == F.col("known_word"), "left")
     c = F.coalesce("c", F.lit(0))
     room = F.element_at(F.array(*[F.lit(float(x)) for x in model.room]), F.col("class") + 1)

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLE, MIN_CELLS, MAX_CELLS, PROBED = 8192, 64, 1024, 0.6
-PARTS, WORDS, RERANKED = 16, 256, 128
+SAMPLE, MIN_CELLS, MAX_CELLS, PROBED = 8192, 64, 1024, 0.7
+PARTS, WORDS, RERANKED = 16, 256, 192
 VECTOR_CHUNK, QUERY_CHUNK = 4096, 4096
 
 
