@@ -154,7 +154,8 @@ def evict_until(log: DataFrame, cursor: Cursor, bytes_to_free: int) -> DataFrame
     freed = blocks.withColumn("__before", F.coalesce(F.sum("__bytes").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     marked = acked.withColumn("__block", block).join(freed.select("__block", "__before"), "__block")
-    left = marked.filter(F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) >= bytes_to_free).drop("__block", "__before")
+    gone = marked.withColumn("__gone", F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    left = gone.filter(F.col("__gone") >= bytes_to_free).drop("__block", "__before", "__gone")
     return left.unionByName(log.filter(F.col("seq") > cursor.acked_up_to))
 
 

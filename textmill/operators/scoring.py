@@ -74,24 +74,31 @@ class FunctionEmbedder:
         return [self.function(t) for t in texts]
 
 
+def _attempt(embedder: Embedder, texts: list[str]) -> tuple[list[list[float]] | None, bool]:
+    """Vectors, or null and whether the service answered. Errors are told by name: an embedder from another module may
+    bring its own copy of the class to a worker."""
+    try:
+        return list(embedder.embed(texts)), False
+    except Exception as e:
+        if type(e).__name__ != EmbedError.__name__:
+            raise
+        return None, bool(getattr(e, "rejected", False))
+
+
 def embed_each(embedder: Embedder, texts: list[str]) -> list[list[float] | None]:
     """Vectors, or null where there is none. A rejected batch of several texts is tried text by text; a service that
     can't be reached is not asked again."""
     if not texts:
         return []
-    try:
-        return list(embedder.embed(texts))
-    except EmbedError as e:
-        if not e.rejected or len(texts) == 1:
-            return [None] * len(texts)
+    found, rejected = _attempt(embedder, texts)
+    if found is not None or not rejected or len(texts) == 1:
+        return found or [None] * len(texts)
     out: list[list[float] | None] = []
     for t in texts:
-        try:
-            out += embedder.embed([t])
-        except EmbedError as e:
-            out.append(None)
-            if not e.rejected:
-                break
+        one, rejected = _attempt(embedder, [t])
+        out += one or [None]
+        if one is None and not rejected:
+            break
     return out + [None] * (len(texts) - len(out))
 
 

@@ -134,7 +134,7 @@ def validate(requests: DataFrame, config: EngineConfig | None = None) -> DataFra
     r = r.withColumn("__turns", F.greatest(F.size(F.coalesce("turns", F.array().cast(T.ArrayType(schema.TURN)))), F.lit(0)))
     talk = F.col("type") == "dialogue"
     single = talk & (F.col("__turns") == 0) & F.col("__json") & ~is_blank(F.col("speaker"))
-    one = F.array(F.struct(F.col("speaker").alias("speaker"), F.col("text").alias("text"), F.lit(None).cast("string").alias("turn_id"), F.lit(None).cast("timestamp").alias("ts")))
+    one = F.array(F.struct(trim(F.col("speaker")).alias("speaker"), F.col("text").alias("text"), F.lit(None).cast("string").alias("turn_id"), F.lit(None).cast("timestamp").alias("ts")))
     both = talk & (F.col("__turns") > 0) & ((F.col("text") != "") | (F.col("speaker") != ""))
     r = r.withColumn("__both", both).withColumn("__misplaced", ~talk & ((F.col("__turns") > 0) | (F.col("speaker") != "")))
     tidy = lambda t: F.struct(trim(F.coalesce(t["speaker"], F.lit(""))).alias("speaker"), F.coalesce(t["text"], F.lit("")).alias("text"), t["turn_id"].alias("turn_id"), t["ts"].alias("ts"))
