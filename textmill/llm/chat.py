@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 START, END = "<|im_start|>", "<|im_end|>"
 PART_TYPE = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
@@ -140,7 +142,7 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("as
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Parses formatted conversations: adds turns (role, text as it was given) and loss_texts (what the mask covers)."""
-    segments = F.slice(F.split("formatted", r"<\|im_start\|>", -1), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>", -1)))
+    segments = let(F.split("formatted", r"<\|im_start\|>", -1), lambda parts: F.slice(parts, F.lit(2), F.size(parts)))
     role = lambda s: F.substring_index(s, "\n", 1)
 
     def body(s: Column) -> Column:
@@ -151,9 +153,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
         .withColumn("turns", F.transform("segments", lambda s: F.struct(unescape_role(role(s)).alias("role"), unescape(body(s)).alias("text"))))
         .withColumn(
             "loss_texts",
-            F.transform(
-                "loss_spans",
-                lambda p: unescape(F.substr(F.col("segments")[p["turn"]], p["offset"] - len(START) + 1, p["length"])),
+            let(
+                F.col("segments"),  # a lambda would split the conversation again for every span
+                lambda all_of_them: F.transform(
+                    "loss_spans", lambda p: unescape(F.substr(F.get(all_of_them, p["turn"]), p["offset"] - len(START) + 1, p["length"]))
+                ),
             ),
         )
     )
