@@ -59,7 +59,8 @@ class Index:
         self.dim = sample.shape[1]
         self.parts = min(parts, self.dim)
         self.width = -(-self.dim // self.parts)
-        self.centroids = kmeans(sample, cells)
+        centroids = kmeans(sample, cells)
+        self.centroids = centroids[np.unique(nearest(sample, centroids))]  # equal ones would waste probes
         rest = self._pad(sample - self.centroids[nearest(sample, self.centroids)])
         self.books = [kmeans(rest[:, p], words, 6, p) for p in range(self.parts)]
 
@@ -73,9 +74,12 @@ class Index:
         rest = self._pad(x - self.centroids[cell])
         return cell, np.stack([nearest(rest[:, p], b) for p, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, share: float) -> np.ndarray:
-        n = max(1, int(np.ceil(share * len(self.centroids))))
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :n]
+    def probes(self, q: np.ndarray, share: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """Cells by falling inner product: this share of them, and as many as hold so many vectors (or all)."""
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable").astype(np.int32)
+        enough = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
+        n = np.maximum(enough, int(np.ceil(share * len(self.centroids))))
+        return [cells[:m] for cells, m in zip(order, n, strict=True)]
 
     def approximate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distance tables: one row per query, one column per code."""
@@ -117,19 +121,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
 
     indexed = written(rows.mapInPandas(encode, "vec_id long, embedding array<double>, cell int, codes binary"), "ivf-index")
 
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # MAX_CELLS rows at most
+        sizes[r["cell"]] = r["n"]
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cells = index.probes(matrix(b["embedding"], index.dim), probed)
-                yield pd.DataFrame({"query_id": b["vec_id"], "query": b["embedding"], "cells": list(cells.astype(np.int32))})
+                cells = index.probes(matrix(b["embedding"], index.dim), probed, sizes, 4 * k)
+                yield pd.DataFrame({"query_id": b["vec_id"], "query": b["embedding"], "cells": cells})
 
     chosen = rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = written(chosen.mapInPandas(probe, "query_id long, query array<double>, cells array<int>"), "ivf-queries")
     asked = queries.select("query_id", "query", F.explode("cells").alias("cell"))
-    # cells are MAX_CELLS rows at most
     held = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTOR_CHUNK).cast("int").alias("v_parts"))
     wanted = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("q_parts"))
-    parts = F.broadcast(held.join(wanted, "cell"))
+    parts = F.broadcast(held.join(wanted, "cell"))  # MAX_CELLS rows at most
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = indexed.join(parts, "cell").withColumn("v", F.pmod(F.xxhash64("vec_id"), F.col("v_parts")).cast("int")).withColumn("q", all_of("q_parts"))
     right = asked.join(parts, "cell").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int")).withColumn("v", all_of("v_parts"))
