@@ -137,7 +137,8 @@ def token_frequency(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[s
         for b in batches:
             for text in b["text"]:
                 seen.update(wanted.intersection(words_of(text)))
-        yield pd.DataFrame({"token": [w.decode() for w in seen], "n": list(seen.values())})
+        if seen:  # pandas would take empty columns for numbers
+            yield pd.DataFrame({"token": [w.decode() for w in seen], "n": list(seen.values())})
 
     rows = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(run, "token string, n long")
     return {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
@@ -149,6 +150,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 words = words_of(text)

@@ -101,7 +101,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, draws
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with every row repeated as often as the mix takes it. Rows are told apart by doc_id."""
-    names = docs.columns
-    m = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    m = m.groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    return docs.join(m, docs["doc_id"].eqNullSafe(m["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    m = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    joined = docs.alias("d").join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.id")))
+    times = F.transform(F.sequence(F.lit(1), F.col("m.copies").cast("int")), lambda k: F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns]))
+    return joined.select(F.explode(times).alias("row")).select("row.*")

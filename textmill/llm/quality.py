@@ -139,6 +139,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLAS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             f = [features(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]
             yield pd.DataFrame({"y": b["y"], "ids": [i.tobytes() for i, _ in f], "x": [x.tobytes() for _, x in f]})
 

@@ -121,6 +121,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
 
     def tabled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             t = pivot_table(b["fp"].to_numpy(np.int64).view(np.uint64), pivots).astype(np.uint8)
             yield pd.DataFrame({"fp": b["fp"], "pivots": [x.tobytes() for x in t]})
 
