@@ -75,6 +75,8 @@ def test_filter(spark, tmp_path):
     assert [r.data[:8] for r in kept.collect()] == ["CRITICAL"] and total.first().discarded_count == 1
     assert e.stats()["filter_noise_reduction_ratio"] == 0.5
     assert e.health()["status"] == "ok"
+    kept, total = e.filter(None, {}, '{"text":"ok ok ok ok ok ok ok\\nERROR: node7 lost its disk at 10:05, 3 jobs failed","threshold":0.45,"chunk_by":"line"}')
+    assert [r.data[:5] for r in kept.collect()] == ["ERROR"] and total.first().total_evaluated == 2
 
 
 def test_needle_is_always_delivered(spark, tmp_path):

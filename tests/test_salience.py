@@ -109,3 +109,22 @@ def test_percentiles_by_index(spark):
     assert got == {0: 0.0, 50: 2.0, 99: 3.0}
     assert df.agg(filtering.percentile_by_index(df.x, 50)).first()[0] == 2.0
     assert filtering.distributed_percentiles(df.limit(0), "x", (50,)).count() == 0
+
+
+BODIES = [
+    ('{"items":[{"origin":"o","data":"a"},{"payload":"b"},{"text":"c","data":""}]}', None, [("o", "a"), ("", "b"), ("", "c")]),
+    ('{"text":"l1\\nl2","chunk_by":"line"}', None, [("filter_stream", "l1"), ("filter_stream", "l2")]),
+    ('{"payload":"only"}', None, [("filter_stream", "only")]),
+    ('[{"origin":"x","text":"t"},{"data":"d"}]', None, [("x", "t"), ("filter_stream", "d")]),
+    ('["s1","s2"]', None, [("filter_stream", "s1"), ("filter_stream", "s2")]),
+    ("h1,h2\n1,2", "text/csv", [("filter_stream", "h1, h2"), ("filter_stream", "1, 2")]),
+    ("INFO: a\nINFO: b", None, [("filter_stream", "INFO: a"), ("filter_stream", "INFO: b")]),
+    ("", None, []),
+]
+
+
+@pytest.mark.parametrize(("body", "media", "want"), BODIES)
+def test_bodies(spark, body, media, want):
+    df = spark.createDataFrame([(body, media)], "body string, m string")
+    got = filtering.body_items(df, FilterOptions(), "body", "m").orderBy("seq").collect()
+    assert [(r.origin, r.data) for r in got] == want and [r.seq for r in got] == list(range(1, len(want) + 1))

@@ -6,8 +6,10 @@ own, one row per change, the latest of which counts. So a batch that is written
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import replace
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,12 +146,21 @@ class Engine:
 
     # filtering
 
-    def filter(self, chunks: DataFrame | None, query: Mapping[str, str] | None = None, body: Mapping[str, object] | None = None, now=None) -> tuple[DataFrame, DataFrame]:
-        """chunks (seq, data, maybe origin), or the newest records where from_buffer is set. Kept chunks, and a summary."""
-        options = filtering.FilterOptions.resolve(query or {}, body or {}, self.config.filter_threshold)
+    def filter(self, chunks: DataFrame | None, query: Mapping[str, str] | None = None, body: str | bytes | None = None, content_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """chunks (seq, data, maybe origin), or the items of a body, or the newest records where from_buffer is set.
+        Kept chunks, and a summary."""
+        try:
+            fields = json.loads(body) if body else {}
+        except ValueError:
+            fields = {}
+        options = filtering.FilterOptions.resolve(query or {}, fields if isinstance(fields, dict) else {}, self.config.filter_threshold)
         if options.from_buffer:
-            cutoff = now if options.since_ms else None
+            cutoff = datetime.now(UTC) - timedelta(milliseconds=options.since_ms) if options.since_ms > 0 else None
             chunks = self.query(options.limit, cutoff, options.since_seq).select("seq", "origin", "data")
+        elif chunks is None and body is not None:
+            raw = body.encode() if isinstance(body, str) else body
+            bodies = self.spark.createDataFrame([(bytearray(raw), content_type)], "body binary, content_type string")
+            chunks = filtering.body_items(bodies, options, "body", "content_type")
         elif chunks is None:
             raise ValueError("no chunks to filter")
         parted = filtering.partition_oversized(chunks, options)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.salience import with_metrics
 from ..functions.text import nonempty
+from ..sources import markup, splitting
+from ..sources.requests import detect_format
 from .chunking import parsed_items
 
 DEFAULT_SOURCE = "filter_stream"
@@ -79,6 +83,51 @@ def inline_text(text: Column, data: Column, payload: Column) -> Column:
     return F.coalesce(nonempty(text), nonempty(data), payload, F.lit(""))
 
 
+def _body_items(body: bytes, fmt: str, mode: str, limit: int) -> list[tuple[str, str]]:
+    """(origin, data) of a filter body: an object's items, else its text as a stream; an array of items; else the body
+    itself, parsed by its format. Fields of a wrong type make the body a document like any other."""
+    try:
+        value = markup.load_json(markup.text_of(body))
+    except (ValueError, RecursionError):
+        value = None
+
+    def field(item: dict, *names: str) -> str:
+        values = [item.get(n) or "" for n in names]
+        if not all(isinstance(v, str) for v in values):
+            raise TypeError
+        return next((v for v in values if v), "")
+
+    try:
+        if isinstance(value, dict):
+            items = value.get("items") or []
+            if found := [(field(i, "origin"), field(i, "data", "payload", "text")) for i in items]:
+                return found
+            if text := field(value, "text", "data", "payload"):
+                if found := [(DEFAULT_SOURCE, t) for t in splitting.plain_text(text, mode, limit)]:
+                    return found
+        elif isinstance(value, list) and value:
+            return [(field(i, "origin") or DEFAULT_SOURCE, field(i, "data", "payload", "text")) for i in value]
+    except (TypeError, AttributeError):
+        pass
+    return [(DEFAULT_SOURCE, t) for t in markup.parse(fmt, body, mode, limit, headers=False)]
+
+
+def body_items(bodies: DataFrame, options: FilterOptions, body: str = "body", content_type: str | None = None) -> DataFrame:
+    """Filter bodies to chunks: their other columns, seq (from 1 in a body), origin, data."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("origin", T.StringType()), T.StructField("data", T.StringType())])))
+    def items(bodies: pd.Series, formats: pd.Series) -> pd.Series:
+        rows = [None if b is None else [{"origin": o, "data": d} for o, d in _body_items(b, f, options.chunk_by, options.max_bytes)] for b, f in zip(bodies, formats, strict=True)]
+        return pd.Series(rows, dtype=object)
+
+    raw = F.col(body).cast("binary")
+    media = F.lit(None).cast("string") if content_type is None else F.col(content_type)
+    fmt = detect_format(F.lit(None).cast("string"), media, raw.cast("string"))
+    others = [c for c in bodies.columns if c not in (body, content_type)]
+    rows = bodies.select(*others, F.posexplode(items(raw, fmt)).alias("pos", "item"))
+    return rows.select(*others, (F.col("pos") + 1).cast("long").alias("seq"), "item.origin", "item.data")
+
+
 def split_text(texts: DataFrame, column: str, options: FilterOptions, fmt: Column | None = None) -> DataFrame:
     """Documents to items of a chunk stream: adds seq (from 1 within a document) and data. CSV keeps its header row as an
     item, since headers are not asked for here."""

@@ -133,8 +133,8 @@ def page_summary(log: DataFrame, cursor: Cursor, after: int = 0, most: int = 256
         F.coalesce(F.max(F.when(F.col("n") <= most, F.col("seq"))), F.lit(0)).alias("last_seq"),
         (F.count(F.lit(1)) > most).alias("more"),
     )
-    pending = log.agg(F.count_if(F.col("seq") > cursor.acked_up_to).alias("pending"))
-    return on_page.crossJoin(pending).select(F.lit(cursor.epoch).alias("epoch"), "chunks", "last_seq", "pending", "more")
+    pending = log.agg(F.count_if(F.col("seq") > cursor.acked_up_to)).scalar()
+    return on_page.select(F.lit(cursor.epoch).alias("epoch"), "chunks", "last_seq", pending.alias("pending"), "more")
 
 
 def newly_acked(log: DataFrame, before: Cursor, after: Cursor) -> DataFrame:
@@ -166,8 +166,8 @@ def query(log: DataFrame, limit: int = 0, cutoff=None, since_seq: int = 0) -> Da
         limit = QUERY_DEFAULT
     rows = log.filter(F.col("seq") > since_seq)
     if cutoff is not None:
-        stop = log.filter(F.col("ts") < F.lit(cutoff)).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__stop"))
-        rows = rows.crossJoin(F.broadcast(stop)).filter(F.col("seq") > F.col("__stop")).drop("__stop")  # one row
+        stop = log.filter(F.col("ts") < F.lit(cutoff)).agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
+        rows = rows.filter(F.col("seq") > stop)
     return rows.orderBy(F.col("seq").desc()).limit(limit).orderBy("seq")
 
 

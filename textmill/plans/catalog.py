@@ -167,17 +167,18 @@ def floor_counts(spark, sf_dir):
     return floor.counts(_floored(spark, sf_dir), "ingest_id").select(_key("doc_id"), "blank", "separator", "heartbeat", "duplicate", "kept")
 
 
-_BY_SOURCE = "(SELECT source AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)"
+_BY_SOURCE = "(SELECT source || ':' || doc_id // 200 AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
 
 
-@query(f"WITH {_entries(_BY_SOURCE, 'doc_id')}, {_reasons()} SELECT doc_id AS source, {_COUNTS} FROM reasons GROUP BY doc_id")
+@query(f"WITH {_entries(_BY_SOURCE, 'doc_id')}, {_reasons()} SELECT doc_id AS log, {_COUNTS} FROM reasons GROUP BY doc_id")
 def floor_dedup_log(spark, sf_dir):
-    """All documents of a source as one log."""
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
+    """The documents of a source as logs of at most 200 documents each."""
+    name = F.concat(F.col("source"), F.lit(":"), F.floor(F.col("doc_id") / 200).cast("string"))
+    docs = table(spark, sf_dir, "documents").groupBy(name.alias("log")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["text"]), "\n")
-    logs = docs.select(*samples.request("log", F.col("source"), F.col("source"), F.lit("s"), text))
+    logs = docs.select(*samples.request("log", F.col("log"), F.lit("docs"), F.lit("s"), text))
     rows = floor.floored(chunking.candidates(logs, 1 << 30), CONFIG)
-    return floor.counts(rows, "ingest_id").withColumnRenamed("ingest_id", "source")
+    return floor.counts(rows, "ingest_id").withColumnRenamed("ingest_id", "log")
 
 
 _QUESTION_SQL = f"""
@@ -306,9 +307,11 @@ def pdf_text(spark, sf_dir):
 def _scored(spark, sf_dir) -> DataFrame:
     """Every vector against that of the smallest vec_id, as chunks of one request per label; one label has no task."""
     e = table(spark, sf_dir, "embeddings")
-    task = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("task_vector"))
+    first = e.orderBy("vec_id").first()  # one row
+    task = F.array(*[F.lit(float(x)) for x in first["embedding"]])
     has = F.when(F.col("label") == 9, "").otherwise("find")
-    chunks = e.crossJoin(F.broadcast(task)).select("vec_id", F.col("label").alias("ingest_id"), has.alias("task"), F.when(F.col("vec_id") % 50 != 7, F.col("embedding")).alias("vector"), "task_vector")
+    vector = F.when(F.col("vec_id") % 50 != 7, F.col("embedding").cast("array<double>"))
+    chunks = e.select("vec_id", F.col("label").alias("ingest_id"), has.alias("task"), vector.alias("vector"), task.alias("task_vector"))
     return scoring.routed(chunks, CONFIG.strong_threshold)
 
 
