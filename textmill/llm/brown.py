@@ -77,6 +77,20 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(vocabulary: DataFrame, most: int) -> DataFrame:
+    """The words above the lowest count that at most so many words reach; counts go by steps of a twelfth of an octave.
+    Only the sizes of the steps are gathered, so no task and not the driver sorts words."""
+    step = F.floor(F.log2("c") * 12).cast("int")
+    short = vocabulary.filter(F.octet_length("word") <= HEAD_BYTES)
+    held, lowest = 0, None
+    for r in short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("step").desc()).collect():  # 12 * 63 rows at most
+        held += r["n"]
+        if held > most:
+            break
+        lowest = r["step"]
+    return short.filter(step >= lowest) if lowest is not None else short.limit(0)
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
     """The class of each unit. bigrams[u, v]: how often v follows u. Unit 0 keeps class 0 to itself. Each unit in turn
     goes to the class that makes the likelihood of the class bigrams largest."""
@@ -213,7 +227,7 @@ def score_texts(docs: DataFrame, head_size: int = HEAD) -> DataFrame:
     vocabulary = written(count_words(learning), "brown-vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
-    top = vocabulary.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.col("c").desc(), "word").limit(head_size).toPandas()
+    top = frequent(vocabulary, head_size).toPandas().sort_values(["c", "word"], ascending=[False, True])
     head = spark.sparkContext.broadcast(Head(top["word"].tolist(), top["c"].tolist()))  # head_size words of HEAD_BYTES at most
     model = Model(bigram_counts(learning, head), vocabulary_by_unit(vocabulary, head), n, v)
 
