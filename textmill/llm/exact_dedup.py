@@ -59,8 +59,9 @@ def build_directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int
     cells = entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {max_depth} - depth)"))
     sums = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
+    # 2 ** (max_depth + 1) rows at most
     fits = sums.filter((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    best = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    best = levels.join(F.broadcast(fits), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
     return best.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
 
 
