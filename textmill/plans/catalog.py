@@ -5,16 +5,20 @@ The SQL is written for DuckDB, whose patterns are RE2's, so the default patterns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HEARTBEAT_EXCLUDE_PATTERN, HEARTBEAT_PATTERN, SEPARATOR_PATTERN, EngineConfig
+from ..engine import Engine
 from ..functions import salience
 from ..functions.text import SPACE, content_id, is_blank
 from ..operators import chunking, filtering, floor, log, scoring
 from ..sources import requests as sources
+from ..storage import shared_root
+from ..streaming.ingest import ingest_stream, json_stream
 from . import ingest as plan
 from . import samples
 from .samples import NOISY_SQL, SALIENCE_SQL, sql_text, table
@@ -546,6 +550,18 @@ def ingest_records(spark, sf_dir):
     return log.sequenced(records, ["doc_id", "pos", "part"]).select("doc_id", "pos", "part", "seq", "id", "size")
 
 
+@query("SELECT conv_id, count(*) AS chunks, true AS together FROM conversations WHERE NOT (" + _blank("text") + ") GROUP BY conv_id")
+def stream_ingest(spark, sf_dir):
+    """Conversations as JSON requests in files, streamed into a log. Chunks of a request have neighbouring numbers."""
+    root = f"{shared_root(spark)}/textmill/stream-{uuid.uuid4().hex}"
+    talks = samples.dialogues(spark, sf_dir).select(F.to_json(F.struct("type", "source", F.col("ingest_id").alias("session"), "turns")).alias("value"))
+    talks.write.text(f"{root}/in")
+    engine = Engine(spark, f"{root}/log", EngineConfig(embed_provider="none", chunk_max_bytes=1 << 30, capacity_mb=1 << 20))
+    ingest_stream(json_stream(spark, f"{root}/in"), engine, f"{root}/checkpoint").awaitTermination()
+    by_request = engine.records.groupBy(F.col("session").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("chunks"), (F.max("seq") - F.min("seq") + 1).alias("span"))
+    return by_request.select("conv_id", "chunks", (F.col("span") == F.col("chunks")).alias("together"))
+
+
 @query(f"SELECT doc_id, {_blank('text')} AS blank FROM documents")
 def blank_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", is_blank(F.col("text")).alias("blank"))

@@ -22,3 +22,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/textmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes the tables that this library wrote there. Only when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/textmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
