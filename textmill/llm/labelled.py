@@ -18,14 +18,26 @@ def held_out(doc_id: Column) -> Column:
     return crc32_mod(doc_id, HELD_OUT_FOLDS) == 0
 
 
+def draw_below(draw: Column, wanted: int, n: int) -> Column:
+    """Whether a 64-bit hash is among the lowest, such that about one and a half times as many of n rows are as are
+    wanted: what is sorted then does not grow with n."""
+    share = 1.5 * wanted / max(n, 1) + 1e-9
+    return F.lit(True) if share >= 1 else draw < F.lit(int(share * 2**64) - 2**63)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, columns: tuple[str, ...] = ("text",)) -> tuple[DataFrame, float]:
     """Learning rows (y, fold, columns) of docs that have a label 0 or 1 and are not held out: per class, the first
     per_class by a hash of their id. Also the share of label 1 among all such labels, for calibration."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    share = known.agg(F.avg("y")).first()[0]
+    sizes = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    share = sizes[1] / sizes[0] if sizes[0] else None
     drawn = known.withColumn("draw", F.xxhash64("doc_id", F.lit(label)))
-    picked = drawn.filter("y = 0").orderBy("draw").limit(per_class).union(drawn.filter("y = 1").orderBy("draw").limit(per_class))
+
+    def first(y: int, n: int) -> DataFrame:
+        return drawn.filter(F.col("y") == y).filter(draw_below(F.col("draw"), per_class, n)).orderBy("draw").limit(per_class)
+
+    picked = first(0, sizes[0] - sizes[1]).union(first(1, sizes[1]))
     picked = picked.select(F.col("doc_id").alias("__id"), "y", F.pmod("draw", F.lit(2)).cast("int").alias("fold"))
     found = docs.join(F.broadcast(picked), docs["doc_id"] == picked["__id"]).select("y", "fold", *columns)  # 2 * per_class rows at most
     return written(found, f"sample-{label}"), float(0.5 if share is None else share)

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from . import labelled
 from .common import worker_cache
 
-THRESHOLD, TERMS, WINDOW = 0.5, 2000, 8
-MIN_DOCS, MIN_ODDS, STEM_CHARS = 3, 1.2, (5, 8)
+THRESHOLD, TERMS, WINDOW = 0.5, 300, 8
+#: A term is held by so many toxic documents, and by this share of them, at least; its log-odds are MIN_ODDS at least.
+MIN_DOCS, MIN_SHARE, MIN_ODDS, STEM_CHARS = 3, 0.01, 2.0, (5, 8)
 
 #: Words and automaton states that a task remembers; it forgets them all when it has more.
 MEMORY = 200_000
@@ -212,9 +213,18 @@ def weigh_terms(counts: pd.DataFrame, toxic: int, clean: int) -> dict[str, float
     t, c = counts["t"].to_numpy(float), counts["c"].to_numpy(float)
     odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
     gain = t / max(toxic, 1) * odds
-    keep = (t >= MIN_DOCS) & (odds >= MIN_ODDS)
-    order = sorted(np.flatnonzero(keep), key=lambda k: (-gain[k], counts["term"].iloc[k]))[:TERMS]
-    return {counts["term"].iloc[k]: float(odds[k]) for k in order}
+    keep = (t >= max(MIN_DOCS, MIN_SHARE * toxic)) & (odds >= MIN_ODDS)
+    term = counts["term"].to_list()
+    # a stem that one word or one longer stem accounts for says nothing more than that word
+    most: dict[str, float] = {}
+    for k in np.flatnonzero(keep):
+        whole = term[k].rstrip("*")
+        for cut in range(STEM_CHARS[0], min(STEM_CHARS[1], len(whole) - (not term[k].endswith("*"))) + 1):
+            if whole[:cut] + "*" != term[k]:
+                most[whole[:cut] + "*"] = max(most.get(whole[:cut] + "*", 0), t[k])
+    keep &= np.array([most.get(x, 0) < 0.9 * n for x, n in zip(term, t, strict=True)], bool)
+    order = sorted(np.flatnonzero(keep), key=lambda k: (-gain[k], term[k]))[:TERMS]
+    return {term[k]: float(odds[k]) for k in order}
 
 
 def candidate_terms(text: str) -> set[str]:
@@ -230,15 +240,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLAS
             seen: Counter = Counter()
             for fold, y, text in zip(b["fold"], b["y"], b["text"], strict=True):
                 seen.update((fold, y, t) for t in candidate_terms(text or ""))
-            yield pd.DataFrame([(f, y, t, n) for (f, y, t), n in seen.items()], columns=["fold", "y", "term", "n"])
+            if seen:
+                yield pd.DataFrame([(f, y, t, n) for (f, y, t), n in seen.items()], columns=["fold", "y", "term", "n"])
 
     counted = rows.mapInPandas(count, "fold int, y int, term string, n long").groupBy("term")
     sums = counted.agg(*[F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n"))), F.lit(0)).alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)])
-    # terms of too few toxic documents stay out; the rest come from 2 * per_class documents, best first
-    gain = (F.col("n01") + F.col("n11")) * F.log((F.col("n01") + F.col("n11") + 0.5) / (F.col("n00") + F.col("n10") + 0.5))
-    table = sums.filter(F.col("n01") + F.col("n11") >= MIN_DOCS).orderBy(gain.desc(), "term").limit(10 * TERMS).toPandas()
     sizes = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = lambda y, folds: sum(sizes.get((f, y), 0) for f in folds)
+    # terms of too few toxic documents, or of clean ones as well, stay out where they are counted; best first
+    t, c = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
+    odds = F.log((t + 0.5) / (n(1, (0, 1)) + 1)) - F.log((c + 0.5) / (n(0, (0, 1)) + 1))
+    worth = (t >= max(MIN_DOCS, MIN_SHARE * n(1, (0, 1)))) & (odds >= MIN_ODDS / 2)  # a fold may rate a term higher
+    table = sums.filter(worth).orderBy((t * odds).desc(), "term").limit(50 * TERMS).toPandas()
     if not n(0, (0, 1)) or not n(1, (0, 1)):
         flat = min(max(share, 1e-3), 1 - 1e-3)
         return Model({}, None, 0.0, math.log(flat / (1 - flat)))
@@ -252,6 +265,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLAS
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automata = {f: Automaton(t) for f, t in crossed.items()}
         for b in batches:
+            if b.empty:
+                continue
             xs = [features(t, automata[f]) for f, t in zip(b["fold"], b["text"], strict=True)]
             yield pd.DataFrame({"y": b["y"], "x": [None if x is None else x.tolist() for x in xs]})
 
