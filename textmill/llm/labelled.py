@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, written
+from ..functions.text import let
+from .common import SPACE_CLASS, crc32_mod, written
 
 #: Rows of each class that a classifier learns from at most. Only fitting is bounded; every row is scored.
 PER_CLASS = 4000
@@ -27,7 +28,8 @@ def draw_below(draw: Column, wanted: int, n: int) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, columns: tuple[str, ...] = ("text",)) -> tuple[DataFrame, float]:
     """Learning rows (y, fold, columns) of docs that have a label 0 or 1 and are not held out: per class, the first
-    per_class by a hash of their id. Also the share of label 1 among all such labels, for calibration."""
+    per_class by a hash of their id, of copies and most near copies just one, so that no large group of copies decides
+    what is learned. Also the share of label 1 among all such labels, for calibration. columns: with text among them."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     sizes = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -38,9 +40,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_
         return drawn.filter(F.col("y") == y).filter(draw_below(F.col("draw"), per_class, n)).orderBy("draw").limit(per_class)
 
     picked = first(0, sizes[0] - sizes[1]).union(first(1, sizes[1]))
-    picked = picked.select(F.col("doc_id").alias("__id"), "y", F.pmod("draw", F.lit(2)).cast("int").alias("fold"))
-    found = docs.join(F.broadcast(picked), docs["doc_id"] == picked["__id"]).select("y", "fold", *columns)  # 2 * per_class rows at most
-    return written(found, f"sample-{label}"), float(0.5 if share is None else share)
+    picked = picked.select(F.col("doc_id").alias("__id"), "y", "draw")
+    found = docs.join(F.broadcast(picked), docs["doc_id"] == picked["__id"])  # 2 * per_class rows at most
+    alike = Window.partitionBy("y", "__sketch").orderBy("draw")
+    rows = found.select("y", "draw", *columns).withColumn("__sketch", sketch(F.col("text"))).withColumn("__place", F.row_number().over(alike))
+    once = rows.filter("__place = 1").select("y", F.pmod("draw", F.lit(2)).cast("int").alias("fold"), *columns)
+    return written(once, f"sample-{label}"), float(0.5 if share is None else share)
+
+
+def sketch(text: Column) -> Column:
+    """The least hash of a text's five-word shingles: the same for copies, and for most near copies of a text."""
+    size = 5
+
+    def hashes(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1)))
+        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(size)), " "))))
+
+    return let(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+", -1), hashes)
 
 
 def prior_shift(y: np.ndarray, share: float) -> float:

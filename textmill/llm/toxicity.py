@@ -33,8 +33,9 @@ THRESHOLD, TERMS, WINDOW = 0.5, 300, 8
 #: A term is held by so many toxic documents, and by this share of them, at least; its log-odds are MIN_ODDS at least.
 MIN_DOCS, MIN_SHARE, MIN_ODDS, STEM_CHARS = 3, 0.01, 2.0, (5, 8)
 
-#: Words and automaton states that a task remembers; it forgets them all when it has more.
-MEMORY = 200_000
+#: Words that a task remembers and terms that it counts, and pairs in the automaton's states: it lets go of them when it
+#: has more.
+MEMORY, PAIRS = 50_000, 400_000
 
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”„«»‘’…"
 _QUOTES = "\"“”„«»"
@@ -86,6 +87,7 @@ class Automaton:
         self.final: list[list[tuple[str, int]]] = []
         self.stems: list[list[str]] = []
         self.known: dict[str, tuple] = {}
+        self.pairs = 0
         self.start = self._state({0: 0})
 
     def _close(self, reached: dict[int, int]) -> dict[int, int]:
@@ -106,6 +108,7 @@ class Automaton:
             return self.states[key]
         k = self.states[key] = len(self.sets)
         self.sets.append(tuple(reached.items()))
+        self.pairs += len(reached) + 8
         self.moves.append({})
         self.final.append([(t, e) for n, e in reached.items() for t, allowed, stem in self.ends[n] if not stem and e <= allowed])
         self.stems.append([t for n, e in reached.items() for t, _, stem in self.ends[n] if stem and e == 0])
@@ -128,7 +131,7 @@ class Automaton:
         """(term, edits) pairs: the nearest term, and the longest stem."""
         got = self.known.get(word)
         if got is None:
-            if len(self.known) + len(self.sets) > MEMORY:
+            if len(self.known) > MEMORY or self.pairs > PAIRS:
                 self._forget()
             state, stem = self.start, None
             for c in word:
@@ -236,12 +239,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLAS
     rows, share = labelled.sample(docs, labels, "toxic", per_class)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+
+        def out() -> Iterator[pd.DataFrame]:
+            if seen:
+                yield pd.DataFrame([(f, y, t, n) for (f, y, t), n in seen.items()], columns=["fold", "y", "term", "n"])
+            seen.clear()
+
         for b in batches:
-            seen: Counter = Counter()
             for fold, y, text in zip(b["fold"], b["y"], b["text"], strict=True):
                 seen.update((fold, y, t) for t in candidate_terms(text or ""))
-            if seen:
-                yield pd.DataFrame([(f, y, t, n) for (f, y, t), n in seen.items()], columns=["fold", "y", "term", "n"])
+                if len(seen) > MEMORY:
+                    yield from out()
+        yield from out()
 
     counted = rows.mapInPandas(count, "fold int, y int, term string, n long").groupBy("term")
     sums = counted.agg(*[F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n"))), F.lit(0)).alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)])
