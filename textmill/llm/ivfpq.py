@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .labelled import draw_below
 
 SAMPLE, MIN_CELLS, MAX_CELLS, PROBED = 8192, 64, 1024, 0.7
 PARTS, WORDS, RERANKED = 16, 256, 192
@@ -110,7 +111,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     cells = cells or int(min(max(n**0.5 / 8, MIN_CELLS), MAX_CELLS))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows at most
+    drawn = rows.filter(draw_below(F.xxhash64("vec_id"), SAMPLE, n))
+    sample = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows at most
     index = Index(matrix(sample["embedding"], 0), cells)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
