@@ -68,6 +68,10 @@ def _items(formats: pd.Series, bodies: pd.Series, modes: pd.Series, limits: pd.S
     return pd.Series([None if b is None else markup.parse(f, b, m, int(n), bool(h)) for f, b, m, n, h in rows], dtype=object)
 
 
+# what a generator explodes would else be computed once more, for a filter on its size
+_document_units, _items = _document_units.asNondeterministic(), _items.asNondeterministic()
+
+
 def parsed_items(fmt: Column, body: Column, mode: str = "auto", limit: int = 0, headers: bool = True) -> Column:
     """Items of a body in the given format, for filtering and tests."""
     return _items(fmt, body.cast("binary"), F.lit(mode), F.lit(limit), F.lit(headers))
@@ -83,6 +87,9 @@ def _split(texts: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else splitting.split_bytes(t, int(n)) for t, n in zip(texts, limits, strict=True)], dtype=object)
 
 
+_bound, _split = _bound.asNondeterministic(), _split.asNondeterministic()
+
+
 def split_at_boundaries(text: Column, limit: int) -> Column:
     return _split(text, F.lit(limit))
 

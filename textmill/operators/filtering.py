@@ -124,7 +124,7 @@ def body_items(bodies: DataFrame, options: FilterOptions, body: str = "body", co
     media = F.lit(None).cast("string") if content_type is None else F.col(content_type)
     fmt = detect_format(F.lit(None).cast("string"), media, raw.cast("string"))
     others = [c for c in bodies.columns if c not in (body, content_type)]
-    rows = bodies.select(*others, F.posexplode(items(raw, fmt)).alias("pos", "item"))
+    rows = bodies.select(*others, F.posexplode(items.asNondeterministic()(raw, fmt)).alias("pos", "item"))
     return rows.select(*others, (F.col("pos") + 1).cast("long").alias("seq"), "item.origin", "item.data")
 
 
