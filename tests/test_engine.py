@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from textmill.config import EngineConfig
 from textmill.engine import Conflict, Engine
 from textmill.operators.scoring import FunctionEmbedder
@@ -98,7 +96,9 @@ def test_stream_is_ordered_and_complete(spark, tmp_path):
         (src / f"{k}.json").write_text("\n".join(body))
     e = engine(spark, tmp_path / "log")
     ingest_stream(json_stream(spark, str(src), 1), e, str(tmp_path / "cp")).awaitTermination()
-    assert len(e.batches) == 4
+    assert e.last_batch == 3
+    ingest_stream(json_stream(spark, str(src), 1), e, str(tmp_path / "cp2")).awaitTermination()  # as if no commit had been kept
+    assert e.cursor.next_seq == 41
     seen = []
     assert drain_all(e, 7, lambda p: seen.extend(p.chunks)) == 40
     assert [c["seq"] for c in seen] == list(range(1, 41)) and len({c["text"] for c in seen}) == 40
@@ -108,8 +108,17 @@ def test_stream_is_ordered_and_complete(spark, tmp_path):
     assert all(v == ["a", "b"] for v in by_request.values())
 
 
-def test_replayed_batch_is_not_stored_twice(spark, tmp_path):
+def test_resume_goes_on_where_it_stopped(spark, tmp_path):
     e = engine(spark, tmp_path)
-    e.ingest(requests(spark, [log_request("a", "1")]), batch_id=0)
-    before = e.records.select(F.col("text")).collect()
-    assert [r.text for r in before] == ["1"] and e.ingest(requests(spark, []), batch_id=1)[0].count() == 0
+    e.ingest(requests(spark, [log_request("a", "1\n2\n3")]), batch_id=0)
+    e.ack(e.cursor.epoch, 1)
+    # a batch that was cut off: its files are there, the cursor doesn't know them
+    lost = engine(spark, tmp_path)
+    lost.cursor, lost._save = e.cursor, lambda: None
+    lost.ingest(requests(spark, [log_request("b", "lost")]), batch_id=1)
+    again = Engine.resume(spark, f"file://{tmp_path}", e.cursor.epoch, e.config)
+    assert (again.cursor, again.last_batch) == (e.cursor, 0)
+    assert [c["text"] for c in again.drain().chunks] == ["2", "3"]
+    again.ingest(requests(spark, [log_request("b", "4")]), batch_id=1)
+    assert [(c["seq"], c["text"]) for c in again.drain().chunks] == [(2, "2"), (3, "3"), (4, "4")]
+    assert again.ingest(requests(spark, []), batch_id=2)[0].count() == 0

@@ -1,16 +1,17 @@
 """The engine: ingest, drain, ack, query, filter, stats over one ordered log kept as Parquet.
 
-Records are appended in batches, one folder each; the cursor (epoch, acknowledged, next number) is a small table of its
-own, one row per change, the latest of which counts. So a batch that is written twice (a replay) overwrites itself.
+Records are appended in batches, a folder each, named by their first number. The cursor is a small table of its own, a row
+per change, the latest of which counts: numbers from its next_seq on don't exist, whatever files there are. So a batch that
+was cut off, or is run again, overwrites itself; and resume() goes on where an engine stopped.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,35 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None, embedder: scoring.Embedder | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or EngineConfig()
         self.embedder = embedder if embedder is not None or self.config.embed_provider == "none" else scoring.HttpEmbedder.of(self.config)
-        self.cursor, self.batches = Cursor.new(), []
-        self._answers: list[DataFrame] = []
-        self._rejections = 0
-        self._filtered: list[DataFrame] = []
+        self.cursor = Cursor.new()
+        #: the highest number that is evicted, and of a stream's batch that is stored
+        self.evicted, self.last_batch = 0, -1
+        self._changes = 0
+        self._counters: Counter = Counter()
+
+    @classmethod
+    def resume(cls, spark: SparkSession, root: str, epoch: str, config: EngineConfig | None = None, embedder: scoring.Embedder | None = None) -> Engine:
+        """An engine over the log of an earlier one; counters of requests begin anew."""
+        e = cls(spark, root, config, embedder)
+        last = spark.read.schema(_CURSOR).json(f"{e.root}/{epoch}/cursor").orderBy(F.col("change").desc()).first()
+        e.cursor = Cursor(epoch, last["acked_up_to"], last["next_seq"])
+        e._changes, e.evicted, e.last_batch = last["change"], last["evicted"], last["last_batch"]
+        return e
+
+    def _save(self) -> None:
+        self._changes += 1
+        row = (self._changes, self.cursor.acked_up_to, self.cursor.next_seq, self.evicted, self.last_batch)
+        self.spark.createDataFrame([row], _CURSOR).coalesce(1).write.mode("append").json(f"{self.root}/{self.cursor.epoch}/cursor")
 
     # the log
 
     @property
     def records(self) -> DataFrame:
-        """Held records, oldest first by seq."""
-        if not self.batches:
+        """Held records."""
+        if self.cursor.next_seq == 1:
             return self.spark.createDataFrame([], _RECORD)
-        held = [self.spark.read.schema(_RECORD).parquet(b) for b in self.batches]
-        return reduce(DataFrame.unionByName, held).filter(F.col("seq") > self._evicted)
-
-    _evicted = 0
+        files = self.spark.read.schema(_RECORD).option("recursiveFileLookup", "true").parquet(f"{self.root}/{self.cursor.epoch}/records")
+        return files.filter((F.col("seq") > self.evicted) & (F.col("seq") < self.cursor.next_seq))
 
     def ingest(self, requests: DataFrame, batch_id: int | None = None, summary: bool = False) -> tuple[DataFrame, DataFrame]:
         """requests (schema.REQUEST; an ord column orders them, else ingest_id). Responses of stored requests and the
@@ -68,16 +82,16 @@ class Engine:
         stored = verdicts.filter("outcome = 'stored'").select(F.col("ingest_id").alias("v_id"), (F.col("first_seq") + (self.cursor.next_seq - 1)).alias("v_first"))
         place = F.row_number().over(plan.in_order(records)) - 1
         numbered = records.withColumn("__place", place).join(stored, F.col("ingest_id") == F.col("v_id")).withColumn("seq", F.col("v_first") + F.col("__place"))
-        path = f"{self.root}/{self.cursor.epoch}/records/batch={len(self.batches) if batch_id is None else batch_id}"
+        path = f"{self.root}/{self.cursor.epoch}/records/{self.cursor.next_seq:020d}"
         final = numbered.withColumn("ts", F.coalesce("ts", F.current_timestamp())).select(*[f.name for f in _RECORD.fields])
         final.write.mode("overwrite").parquet(path)
-        if path not in self.batches:
-            self.batches.append(path)
         last = verdicts.agg(F.coalesce(F.max("last_seq"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("outcome") == "stored", F.col("needed"))), F.lit(0))).first()
         self.cursor = replace(self.cursor, next_seq=self.cursor.next_seq + last[0])
         if (excess := held[1] + last[1] - capacity) > 0:
             left = log.evict_until(self.records, self.cursor, excess).agg(F.min("seq")).first()[0]
-            self._evicted = max(self._evicted, (left or self.cursor.next_seq) - 1)
+            self.evicted = max(self.evicted, (left or self.cursor.next_seq) - 1)
+        self.last_batch = self.last_batch if batch_id is None else batch_id
+        self._save()
         back = self.spark.read.schema(_RECORD).parquet(path)
         done = replace(result, records=back, requests=result.requests.join(stored, F.col("ingest_id") == F.col("v_id"), "left_semi"))
         answers = plan.responses(done, self.config, self.embedder is not None).withColumn("epoch", F.lit(self.cursor.epoch))
@@ -85,7 +99,7 @@ class Engine:
             chunks = back.groupBy(F.col("ingest_id").alias("b_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "id", "text", "task_score", "strong", "score_status"))).alias("chunks"))
             answers = answers.join(chunks, F.col("ingest_id") == F.col("b_id"), "left").drop("b_id")
         answers = written(answers, "responses")
-        self._answers.append(answers)
+        self._counters.update(plan.telemetry(answers).first().asDict())
         full = F.col("outcome") == "full"
         too_large = F.col("needed") > capacity
         refused = verdicts.filter("outcome <> 'stored'").select(
@@ -96,7 +110,7 @@ class Engine:
             F.lit("nothing of this request was stored").alias("message"),
         )
         refused = written(refused, "refused")
-        self._rejections += refused.count()
+        self._counters["backpressure_hits"] += refused.count()
         return answers, result.rejected.unionByName(refused)
 
     def _page(self, after: int, most: int) -> Page:
@@ -123,11 +137,13 @@ class Engine:
         after = self.cursor.ack(epoch, up_to_seq)
         n = log.newly_acked(self.records, self.cursor, after).first()[0] if after != self.cursor else 0
         self.cursor = after
+        self._save()
         return n
 
     def evict_acked(self) -> int:
         n = self.records.filter(F.col("seq") <= self.cursor.acked_up_to).count()
-        self._evicted = max(self._evicted, self.cursor.acked_up_to)
+        self.evicted = max(self.evicted, self.cursor.acked_up_to)
+        self._save()
         return n
 
     def query(self, limit: int = 0, cutoff=None, since_seq: int = 0) -> DataFrame:
@@ -166,25 +182,26 @@ class Engine:
         parted = filtering.partition_oversized(chunks, options)
         everything = written(filtering.filter_chunks(parted, options.with_(include_discarded=True)), "filtered")
         total = filtering.summary(everything)
-        self._filtered.append(total)
+        seen = total.first()
+        if seen:
+            self._counters.update({"filter_evaluated": seen["total_evaluated"], "filter_salient": seen["salient_count"], "filter_discarded": seen["discarded_count"]})
         return (everything if options.include_discarded else everything.filter("metrics.is_salient")), total
 
     # telemetry
 
     def stats(self) -> dict:
         out = log.stats(self.records, self.cursor, self.config.capacity_bytes).first().asDict()
-        if self._answers:
-            out |= plan.telemetry(reduce(DataFrame.unionByName, [a.drop("chunks") for a in self._answers])).first().asDict()
-        out["backpressure_hits"] = self._rejections
-        if self._filtered:
-            t = reduce(DataFrame.unionByName, self._filtered).agg(F.sum("total_evaluated"), F.sum("salient_count"), F.sum("discarded_count")).first()
-            out |= {"filter_evaluated": t[0], "filter_salient": t[1], "filter_discarded": t[2], "filter_noise_reduction_ratio": t[2] / t[0] if t[0] else 0.0}
+        out |= {"backpressure_hits": 0} | self._counters
+        if evaluated := self._counters["filter_evaluated"]:
+            out["filter_noise_reduction_ratio"] = self._counters["filter_discarded"] / evaluated
         return out
 
     def health(self) -> dict:
         return {"status": "ok", "version": VERSION, "epoch": self.cursor.epoch, "push": bool(self.config.push_url), "embedder": "none" if self.embedder is None else self.config.embed_provider}
 
 
+_CURSOR = T.StructType([T.StructField(c, T.LongType()) for c in ("change", "acked_up_to", "next_seq", "evicted", "last_batch")])
+
 _RECORD = T.StructType(
     [
         T.StructField("ingest_id", T.StringType()),

@@ -21,17 +21,15 @@ def json_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
 
 
 def ingest_stream(stream: DataFrame, engine: Engine, checkpoint: str, on_batch: Callable[[DataFrame, DataFrame], None] | None = None) -> StreamingQuery:
-    """Every micro-batch is one ingest, under its own number: a batch that is run again after a crash is not stored twice.
-    Within a batch, requests are ordered by ingest_id."""
-    done: set[int] = set()
+    """Every micro-batch is one ingest: the log keeps the number of the last, so a batch that is run again after a crash is
+    not stored twice. Within a batch, requests are ordered by ingest_id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in done:
+        if batch_id <= engine.last_batch:
             return
         answers, errors = engine.ingest(read_json(batch.dropDuplicates(["ingest_id"])), batch_id)
         if on_batch:
             on_batch(answers, errors)
-        done.add(batch_id)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
