@@ -59,7 +59,7 @@ def test_query(spark):
 
 
 def fold(requests, capacity):
-    """The reference's rule as one loop over records."""
+    """The rule as one loop over records."""
     held, acked, out, nxt = [], 0, [], 1
     for sizes, ack in requests:
         acked = max(acked, min(len(held), ack - (nxt - len(held)) + 1))

@@ -1,4 +1,4 @@
-"""Text expressions with the reference semantics: byte sizes, Unicode white space, RE2 patterns, content ids."""
+"""Text expressions: byte sizes, Unicode white space, RE2 patterns, content ids."""
 
 from __future__ import annotations
 

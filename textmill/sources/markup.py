@@ -188,6 +188,7 @@ def xml_items(text: str, mode: str = "auto", limit: int = 0) -> list[str]:
 
 # PDF -----------------------------------------------------------------------------------------------------------------
 
+#: Fixed value: the item of a PDF that shows no text.
 NO_PDF_TEXT = "[PDF: No extractable text stream found - document may contain scanned raster images]"
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _EDGE = rb"(?:(?<=[ \t\r\n/\[\]()])|\A)"
