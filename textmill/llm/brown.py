@@ -21,6 +21,7 @@ are ignored. Texts are read whole.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,13 +30,13 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, written
+from .common import crc32_mod, worker_cache, written
 
 END = "\n"  # no word holds white space
-HEAD, HEAD_BYTES, WORD_UNITS, FORM_UNITS, CLASSES = 200_000, 64, 767, 256, 64
+HEAD, HEAD_BYTES, WORD_UNITS, FORM_UNITS, CLASSES = 200_000, 64, 255, 1280, 128
 UNITS = 1 + WORD_UNITS + FORM_UNITS
 ADD, BASE_ADD, PULL, PASSES = 0.1, 0.1, 1.0, 6
 HELD_OUT_FOLDS = 10
@@ -135,12 +136,11 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
 class Head:
     """The most frequent words: their places, counts and units."""
 
-    def __init__(self, words: list[str], counts: list[int]):
-        self.place = {w.encode(): k for k, w in enumerate(words)}
-        self.counts = np.array([*counts, 0], np.int64)
-        units = [0 if w == END else 1 + k if k < WORD_UNITS else form_unit(w.encode()) for k, w in enumerate(words)]
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        self.place = {w: k for k, w in enumerate(words)}
+        self.counts = np.append(counts, 0)
+        units = [0 if w == END.encode() else 1 + k if k < WORD_UNITS else form_unit(w) for k, w in enumerate(words)]
         self.units = np.array([*units, 0], np.int64)
-        self.forms: dict[bytes, int] = {}
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places (-1: not among them) and units of words."""
@@ -152,8 +152,26 @@ class Head:
         return at, units
 
 
+class SharedHead:
+    """A Head in every worker: plain bytes are broadcast, and each worker makes the Head of them once."""
+
+    def __init__(self, spark: SparkSession, words: list[str], counts: list[int]):
+        # a space parts the words: the end token is a line feed, and no other holds white space
+        self.shared = spark.sparkContext.broadcast((" ".join(words).encode(), np.array(counts, np.int64).tobytes()))
+        self.token = uuid.uuid4().hex
+
+    @property
+    def value(self) -> Head:
+        cache = worker_cache()
+        if cache.get("head_token") != self.token:
+            words, counts = self.shared.value
+            cache["head"] = Head(words.split(b" ") if words else [], np.frombuffer(counts, np.int64))
+            cache["head_token"] = self.token
+        return cache["head"]
+
+
 def bigram_counts(texts: DataFrame, head) -> np.ndarray:
-    """texts: text (binary); head: a broadcast Head. How often each unit follows each other, over all texts."""
+    """texts: text (binary); head: a SharedHead. How often each unit follows each other, over all texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, known = np.zeros(UNITS * UNITS, np.int64), head.value
@@ -228,7 +246,7 @@ def score_texts(docs: DataFrame, head_size: int = HEAD) -> DataFrame:
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
     top = frequent(vocabulary, head_size).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    head = spark.sparkContext.broadcast(Head(top["word"].tolist(), top["c"].tolist()))  # head_size words of HEAD_BYTES at most
+    head = SharedHead(spark, top["word"].tolist(), top["c"].tolist())  # head_size words of HEAD_BYTES at most
     model = Model(bigram_counts(learning, head), vocabulary_by_unit(vocabulary, head), n, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
