@@ -105,3 +105,18 @@ def test_pattern_rewrite():
     assert java_pattern(r"^\d+$") == r"(?d)^[0-9]+\z"
     assert java_pattern(r"(?m)^a$") == r"(?d)(?m)^a$"
     assert java_pattern(r"[\s\d$]") == r"(?d)[\t\n\f\r 0-9$]"
+
+
+def test_word_edges_equal_their_long_form():
+    import re
+
+    from textmill.functions.text import _EDGE
+
+    patterns = [r"\bab", r"\b\d+", r"\b[A-Z_]{3,}", r"\b[a-c]+x", r"\bx*y", r"\bx?y", r"\bx{0,2}y", r"\b[a-c]*x", r"\b[a-c]{0,1}x", r"\b(a|-)", r"\b-", r"\b\d?y", r"x\b"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcxyABC_0 1-é") for _ in range(rng.randrange(14))) for _ in range(2000)]
+    for p in patterns:
+        fast = re.compile(java_pattern(p).removeprefix("(?d)").replace(r"\z", r"\Z"))
+        slow = re.compile(p.replace(r"\b", _EDGE).replace(r"\d", "[0-9]"))
+        for t in texts:
+            assert [m.span() for m in fast.finditer(t)] == [m.span() for m in slow.finditer(t)], (p, t)

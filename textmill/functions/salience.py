@@ -16,7 +16,7 @@ STOPWORDS = (
 
 #: A text with one of these asks for action.
 ALERT_WORDS = "CRITICAL ALERT ERROR PANIC FATAL WARNING EXCEPTION FAIL FAILURE OOM TASK_DIRECTIVE INSTRUCTION THROTTLE THROTTLING".split()
-ALERT_PATTERN = "|".join(w.replace("_", " ") for w in ALERT_WORDS)
+ALERT_TERMS = tuple(w.replace("_", " ") for w in ALERT_WORDS)
 
 #: What counts as a number, a key with a value, and an identifier (RE2 syntax).
 NUMBER_PATTERN = r"\b\d+(\.\d+)?(ms|s|%|MB|GB|KB|kbps|Mbps|°C|C|F|V|A|Hz|MHz|GHz)?\b"
@@ -47,14 +47,14 @@ def tokens(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy over code points, in bits. Each distinct character is counted by the length that it adds."""
+    """Shannon entropy over code points, in bits: of the sorted characters, the runs of equal ones are counted."""
+    chars = F.sort_array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    runs = F.regexp_extract_all(F.array_join(chars, ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
 
-    def bits(t: Column, n: Column) -> Column:
-        chars = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))))
-        shares = F.transform(chars, lambda c: (n - F.length(F.replace(t, c, F.lit("")))) / n)
-        return F.abs(F.aggregate(shares, F.lit(0.0), lambda s, p: s + p * F.log2(p)))
+    def bits(n: Column) -> Column:
+        return F.abs(F.aggregate(runs, F.lit(0.0), lambda s, r: s + F.length(r) / n * F.log2(F.length(r) / n)))
 
-    return F.when(F.length(text) > 0, let(text, lambda t: let(F.length(t).cast("double"), lambda n: bits(t, n)))).otherwise(0.0)
+    return F.when(F.length(text) > 0, let(F.length(text).cast("double"), bits)).otherwise(0.0)
 
 
 def entropy_norm(bits: Column) -> Column:
@@ -65,23 +65,22 @@ def with_metrics(df: DataFrame, text: str, task: str | None, threshold: float) -
     """Adds the struct column metrics: entropy, entropy_norm, lexical_density, entity_density, task_relevance,
     repetition_penalty, salience_score (rounded to 3 places), is_salient, discard_reason. task is a literal directive
     or null. The gate looks at the score before rounding."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     t = F.col("__t")
     has_task = bool(task and task.strip())
     s = df.withColumn("__t", trim(F.coalesce(F.col(text), F.lit("")))).withColumn("__w", F.transform(tokens(t), lambda w: F.lower(w)))
     s = s.withColumn("__n", F.size("__w").cast("double")).withColumn("__u", F.array_distinct("__w")).withColumn("__h", entropy(t))
     s = s.withColumn("__hn", entropy_norm(F.col("__h")))
     unique = F.size("__u") / F.col("__n")
-    content = F.size(F.filter("__w", lambda w: ~F.array_contains(stop, w))) / F.col("__n")
+    content = F.size(F.filter("__w", lambda w: ~w.isin(*STOPWORDS))) / F.col("__n")
     s = s.withColumn("__uq", F.when(F.col("__n") > 0, unique)).withColumn("__lex", F.when(F.col("__n") > 0, F.least(F.lit(1.0), unique * 0.6 + content * 0.4)))
     count = lambda p: F.regexp_count(t, F.lit(java_pattern(p)))
     features = count(NUMBER_PATTERN) * 2 + count(KEY_VALUE_PATTERN) * 3 + count(IDENTIFIER_PATTERN) * 2
     s = s.withColumn("__ent", F.least(F.lit(1.0), features.cast("double") / (F.col("__n") * 0.5 + 5.0)))
-    s = s.withColumn("__act", F.upper(t).rlike(ALERT_PATTERN))
-    low = F.lower(t)
+    s = s.withColumn("__up", F.upper(t)).withColumn("__act", _any(F.col("__up"), ALERT_TERMS))
+    s = s.withColumn("__low", F.lower(t))
     plain = F.lit(False)
     for first, second in BOILERPLATE:
-        plain = plain | (_any(low, first) & _any(low, second))
+        plain = plain | (_any(F.col("__low"), first) & _any(F.col("__low"), second))
     prose = (byte_size(t) >= 70) & (F.col("__n") >= 10) & (F.col("__lex") >= 0.5) & t.rlike("[.,;:]")
     s = s.withColumn("__plain", F.when(plain & ~F.col("__act"), 0.60).otherwise(0.0)).withColumn("__prose", F.coalesce(prose, F.lit(False)))
     repeated = F.when((byte_size(t) >= 5) & t.rlike(r"(?s)(.)\1{4}"), 0.35).otherwise(0.0) + F.when((F.col("__uq") < 0.35) & (F.col("__n") >= 6), 0.35).otherwise(0.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ _OUTSIDE = {"s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]", "d": "[0-9]", "D": "[^0-9
 _INSIDE = {"s": r"\t\n\f\r ", "d": "0-9", "w": _ASCII_WORD}
 
 
+#: What certainly begins with a word character, so that a word edge before it needs one look only.
+_WORD_AHEAD = re.compile(r"\\[dw]|[0-9A-Za-z_]|\[(?:[0-9A-Za-z_]-[0-9A-Za-z_]|[0-9A-Za-z_])+\](?![*?{])|\[(?:[0-9A-Za-z_]-[0-9A-Za-z_]|[0-9A-Za-z_])+\]\{[1-9]")
+
+
 def java_pattern(re2: str) -> str:
     """An RE2 pattern as a Java one with the same matches: white space, digits and word edges are ASCII, the end is the
     very end unless (?m) is set, and only a line feed ends a line."""
@@ -26,7 +31,10 @@ def java_pattern(re2: str) -> str:
     while at < len(re2):
         c = re2[at]
         if c == "\\" and at + 1 < len(re2):
-            out.append((_INSIDE if inside else _OUTSIDE).get(re2[at + 1], re2[at : at + 2]))
+            if re2[at + 1] == "b" and not inside and (m := _WORD_AHEAD.match(re2, at + 2)) and not re2.startswith(("*", "?", "{0"), m.end()):
+                out.append(f"(?<![{_ASCII_WORD}])")
+            else:
+                out.append((_INSIDE if inside else _OUTSIDE).get(re2[at + 1], re2[at : at + 2]))
             at += 2
             continue
         if c == "[" and not inside:
@@ -45,7 +53,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim(text: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))  # most texts need no look inside
+    return F.when(ends.rlike(f"[{SPACE}]"), F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:

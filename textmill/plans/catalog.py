@@ -369,7 +369,7 @@ x1 AS (SELECT *, lower(t) AS lo, list_transform(regexp_extract_all(t, '{salience
 x2 AS (SELECT *, len(w)::DOUBLE AS n, list_distinct(w) AS u, CASE WHEN length(t) > 0 THEN abs(list_sum(list_transform(ch, lambda c: (length(t) - length(replace(t, c, ''))) / length(t)::DOUBLE * log2((length(t) - length(replace(t, c, ''))) / length(t)::DOUBLE)))) ELSE 0.0 END AS h FROM x1),
 x3 AS (SELECT *, least(1.0, h / 4.5) AS hn, len(u) / n AS uq, least(1.0, len(u) / n * 0.6 + len(list_filter(w, lambda z: NOT list_contains({stop}, z))) / n * 0.4) AS lex,
   least(1.0, ({count(salience.NUMBER_PATTERN)} * 2 + {count(salience.KEY_VALUE_PATTERN)} * 3 + {count(salience.IDENTIFIER_PATTERN)} * 2) / (n * 0.5 + 5.0)) AS ent,
-  regexp_matches(upper(t), {sql_text(salience.ALERT_PATTERN)}) AS act, {relevance} AS rel FROM x2),
+  regexp_matches(upper(t), {sql_text('|'.join(salience.ALERT_TERMS))}) AS act, {relevance} AS rel FROM x2),
 x4 AS (SELECT *, CASE WHEN ({plain}) AND NOT act THEN 0.60 ELSE 0.0 END AS plain, strlen(t) >= 70 AND n >= 10 AND lex >= 0.5 AND regexp_matches(t, '[.,;:]') AS prose,
   CASE WHEN act THEN 0.0 ELSE CASE WHEN strlen(t) >= 5 AND len(list_filter(ch, lambda c: contains(t, repeat(c, 5)))) > 0 THEN 0.35 ELSE 0.0 END + CASE WHEN uq < 0.35 AND n >= 6 THEN 0.35 ELSE 0.0 END END AS rep FROM x3),
 x5 AS (SELECT *, greatest(0.0, least(1.0, {weights[0]}::DOUBLE * hn + {weights[1]}::DOUBLE * lex + {weights[2]}::DOUBLE * ent + {weights[3]}::DOUBLE * rel + CASE WHEN prose THEN 0.20 ELSE 0.0 END + CASE WHEN act THEN 0.30 ELSE 0.0 END - rep - plain)) AS score FROM x4),
