@@ -4,7 +4,9 @@ residuals, asymmetric distance tables, and exact reranking.
 Coarse centroids and codebooks are fitted on a bounded sample (SAMPLE vectors, by a hash of their ids); every vector is
 indexed. A query visits the cells whose centroids have the largest inner products with it (PROBED of them). In a cell, a
 table of inner products of the query's parts with the codewords gives each vector's approximate score (cell part plus
-residual part); the RERANKED best per cell are scored exactly in double precision, ties going to the smaller vec_id.
+residual part); the RERANKED best per cell are scored exactly in double precision, ties going to the smaller vec_id, and
+so is every other vector whose approximate score plus the query's length times the vector's quantisation error reaches
+the k-th of those: the rest of the cell can't be among the k nearest.
 Cells are dealt to tasks in chunks of at most VECTOR_CHUNK vectors and QUERY_CHUNK queries, so a cell that holds a third
 of all vectors is many tasks. The share of cells probed is high because vectors without clusters need it: recall is
 measured against brute force in the tests.
@@ -70,10 +72,13 @@ class Index:
         out[:, : self.dim] = x
         return out.reshape(len(x), self.parts, self.width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and the lengths of what the codes leave out."""
         cell = nearest(x, self.centroids)
         rest = self._pad(x - self.centroids[cell])
-        return cell, np.stack([nearest(rest[:, p], b) for p, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, p], b) for p, b in enumerate(self.books)], axis=1)
+        lost = sum(((rest[:, p] - b[codes[:, p]]) ** 2).sum(1) for p, b in enumerate(self.books))
+        return cell, codes.astype(np.uint8), np.sqrt(lost)
 
     def probes(self, q: np.ndarray, share: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
         """Cells by falling inner product: this share of them, and as many as hold so many vectors (or all)."""
@@ -118,10 +123,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cell, codes = index.encode(matrix(b["embedding"], index.dim))
-                yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "cell": cell, "codes": [c.tobytes() for c in codes]})
+                cell, codes, lost = index.encode(matrix(b["embedding"], index.dim))
+                yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "cell": cell, "codes": [c.tobytes() for c in codes], "lost": lost})
 
-    indexed = written(rows.mapInPandas(encode, "vec_id long, embedding array<double>, cell int, codes binary"), "ivf-index")
+    indexed = written(rows.mapInPandas(encode, "vec_id long, embedding array<double>, cell int, codes binary, lost double"), "ivf-index")
 
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # MAX_CELLS rows at most
@@ -149,7 +154,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
         v = v.sort_values("vec_id", ignore_index=True)
         ids, x = v["vec_id"].to_numpy(), matrix(v["embedding"], index.dim)
         codes = np.frombuffer(b"".join(v["codes"]), np.uint8).reshape(len(v), -1)
-        out = []
+        lost, lengths, out = v["lost"].to_numpy(), np.sqrt((x**2).sum(1)), []
         for at in range(0, len(q), 512):
             block = q.iloc[at : at + 512]
             y = matrix(block["query"], index.dim)
@@ -159,12 +164,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
                 top = np.argsort(-near[row], kind="stable")[:reranked]  # equal codes: smaller ids first
                 top = top[ids[top] != query_id]
                 exact = x[top] @ y[row]
+                if len(top) < len(ids):
+                    length = np.sqrt((y[row] ** 2).sum())
+                    kth = np.partition(exact, -k)[-k] if len(top) >= k else -np.inf
+                    # approximate scores are of single precision
+                    reach = near[row] + length * (lost * (1 + 1e-6) + 1e-4 * (lengths + lost))
+                    top = np.flatnonzero((reach >= kth) & (ids != query_id))
+                    exact = x[top] @ y[row]
                 best = np.lexsort((ids[top], -exact))[:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top][best], "score": exact[best]}))
         return pd.concat(out, ignore_index=True)
 
     keys = ("cell", "v", "q")
-    slim = left.select(*keys, "vec_id", "embedding", "codes").groupBy(*keys)
+    slim = left.select(*keys, "vec_id", "embedding", "codes", "lost").groupBy(*keys)
     met = slim.cogroup(right.select(*keys, "query_id", "query").groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
