@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from textmill.llm import jaccard
+from textmill.llm import jaccard, simhash
 
 from ..conftest import DATA
 from .helpers import no_docs, odd_docs, words
@@ -53,6 +53,26 @@ def test_groups_equal_brute_force(spark, chunk):
     want = kept_by_hand(rows)
     assert 20 < len(want) < len(rows) - 20
     assert {r.doc_id for r in jaccard.keep_one(docs, chunk=chunk).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(docs, chunk=chunk).collect()} == want
+
+
+def test_fingerprints_and_pivots_find_close_pairs(spark):
+    rng = random.Random(3)
+    texts = [words(rng, 400) for _ in range(8)]
+    rows = [(10 * k + j, t.rsplit(" ", j)[0]) for k, t in enumerate(texts) for j in range(4)]
+    nodes, _ = jaccard.nodes_and_counts(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {r.node: r["__row_id"] for r in nodes.collect()}
+    pairs = {(of[r.a] // 10, of[r.b] // 10) for r in simhash.likely_pairs(nodes.select("node", "fp").distinct()).collect()}
+    assert {a for a, b in pairs if a == b} == set(range(8))
+
+
+def test_repeated_and_null_ids_keep_one_row_of_a_group(spark):
+    rng = random.Random(12)
+    base, other = words(rng, 80), words(rng, 80)
+    rows = [(1, base), (None, base), (None, other), (None, other + " tail"), (7, base + " end"), (7, base + " end"), (3, None), (None, ""), (8, words(rng, 50)), (8, words(rng, 50))]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, lang long").repartition(3)
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((str(r.doc_id), len(r.text or "") > 50) for r in kept) == sorted([("1", True), ("None", True), ("3", False), ("8", True), ("8", True)])
 
 
 def test_stage_keeps_one_of_each_group_of_similar_documents(spark):

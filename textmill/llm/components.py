@@ -19,7 +19,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         seen = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # written, so that the join deals both sides itself and Spark can split a node with very many neighbours
+    least = written(seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
     joined = seen.join(least, F.col("u") == F.col("w"))
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w").alias("a"), F.col("m").alias("b")))

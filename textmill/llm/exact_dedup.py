@@ -2,29 +2,40 @@
 
 Keys are 64-bit hashes of the normalised text. The steps:
 
-1. entries: rows are grouped by key and whole text, so equal hashes are told apart by their bytes; Spark merges copies
-   before the shuffle, however many there are. From here on only slim rows move.
-2. directory: a histogram of key prefixes (2**MAX_DEPTH cells at most). A cell's bucket is the shortest prefix that
-   holds at most CAPACITY entries: the directory doubles until no bucket is overfull or the cells are used up.
-3. index files: the entries, dealt to owner tasks by ranges of buckets; each owner chains the entries of a key.
-4. probe: each document looks up its key and digest; Spark splits the hot keys of this join.
-
-Defined cases: null text counts as empty; a null doc_id comes last among ties; repeated rows of one doc_id share its
-fate; ties in length go to the smallest doc_id; an empty table gives an empty result; further columns are ignored.
+1. entries: one scan normalises and hashes each text, once. What moves from here on are slim rows: the row's number, its
+   key, SHA-256, length and id. Rows of one key and digest are one class.
+2. directory: it has a cell for each key prefix of some depth. The depth doubles until no cell holds more than
+   `capacity` classes; then a bucket is the shortest prefix, at that depth or above, that holds no more than that. Every
+   cell names its bucket. `capacity` grows with the table, so that the directory has 2 * MOST_BUCKETS cells or so at any size.
+3. index files: buckets are dealt to owner tasks by ranges. A class of one row needs no comparing. Of all others the
+   texts come to the bucket's owner, equal ones merged in each task before they move, so that a large group of copies
+   costs no more than a small one; the owner compares the bytes that share a key, counts, and chains them. A digest
+   that stands for two texts stops the job.
+4. probe: a document's key leads to its cell, the cell to the bucket, and the digest to the place in the chain. What is
+   found there is the verdict. Spark splits the hot keys of this join.
+
+Texts that are compared are found by a table of bits over hashes of the texts as they are (see rows.py), so that others
+are neither normalised again nor moved.
+
+Defined cases: null text counts as empty; a null doc_id comes last among ties; ties in length go to the smallest doc_id;
+of rows that are equal in that as well, such as repeated rows, the first one read stays, and just that one; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .rows import CHARS, HASH, bit_table, keep_rows, may_be_among, text_chars, text_hash
 
-CAPACITY, MAX_DEPTH = 4096, 16
+CAPACITY, MOST_BUCKETS = 4096, 1 << 15
 
-#: A packed order: code points first, then smaller ids. 2**64 parts the two.
-_ID_TOP = (1 << 63) - 1
-_RADIX = 1 << 64
+#: A directory of more cells than this is joined as Spark sees fit, not broadcast.
+_BROADCAST_CELLS = 1 << 18
 
 
 def normalise(text: Column) -> Column:
@@ -35,56 +46,111 @@ def key_of(norm: Column, key_bits: int = 64) -> Column:
     return F.shiftleft(F.xxhash64(norm), 64 - key_bits) if key_bits < 64 else F.xxhash64(norm)
 
 
-def _rank(text: Column, doc_id: Column) -> Column:
-    """The longest text and the smallest id have the largest number. A decimal of fixed width keeps the hash aggregate."""
-    id_part = F.coalesce(F.lit(_ID_TOP).cast("decimal(20,0)") - doc_id.cast("decimal(20,0)") + 1, F.lit(0).cast("decimal(20,0)"))
-    return (F.length(F.coalesce(text, F.lit(""))).cast("decimal(10,0)") * F.lit(str(_RADIX)).cast("decimal(21,0)") + id_part).cast("decimal(38,0)")
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
 
 
-def _rank_id(rank: Column) -> Column:
-    rest = rank % F.lit(str(_RADIX)).cast("decimal(38,0)")
-    return F.when(rest > 0, (F.lit(_ID_TOP).cast("decimal(38,0)") - rest + 1).cast("long"))
+def build_entries(docs: DataFrame, key_bits: int = 64) -> DataFrame:
+    """row, doc_id, key, digest, chars, and the hash and length of the text as it is."""
+    text = F.col("text")
+    once = docs.select("doc_id", F.coalesce(F.length(text), F.lit(0)).alias("chars"), text_hash(text).alias(HASH), text_chars(text).alias(CHARS), normalise(text).alias("norm"))
+    slim = once.select(F.monotonically_increasing_id().alias("row"), "doc_id", key_of(F.col("norm"), key_bits).alias("key"), digest_of(F.col("norm")).alias("digest"), "chars", HASH, CHARS)
+    return written(slim, "exact-entries")
+
+
+def build_classes(entries: DataFrame) -> DataFrame:
+    """key, digest, n, keep_row, keep_id: the row that stays has the most code points, then the smallest id, then row."""
+    # ~x orders like -x, and has no overflow
+    rank = F.struct("chars", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))
+    classes = entries.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("best"))
+    return written(classes.select("key", "digest", "n", F.bitwise_not("best.row").alias("keep_row"), F.bitwise_not("best.id").alias("keep_id")), "exact-classes")
+
+
+def cell_of(key: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+class Directory:
+    """cells: cell, depth (of its bucket), bucket (its first cell), a row for each cell in use; depth: of the cells."""
+
+    def __init__(self, cells: DataFrame, depth: int, n_cells: int):
+        self.cells, self.depth, self.n_cells = cells, depth, n_cells
+
+    def route(self, rows: DataFrame) -> DataFrame:
+        """rows (with key) with the bucket and depth that the directory names; keys without a cell have no bucket."""
+        cells = F.broadcast(self.cells) if self.n_cells <= _BROADCAST_CELLS else self.cells
+        return rows.withColumn("cell", cell_of(F.col("key"), self.depth)).join(cells, "cell").drop("cell")
+
+
+def build_directory(classes: DataFrame, capacity: int | None = None) -> Directory:
+    """Doubles until no cell is overfull. A cell of one key can't be split and is full whatever it holds."""
+    keys = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    total = keys.count()
+    capacity = capacity or max(CAPACITY, ceil(total / MOST_BUCKETS))
+    depth = min(64, max(0, ceil(log2(max(total, 1) / capacity))))
+    while True:
+        cells = keys.groupBy(cell_of(F.col("key"), depth).alias("cell")).agg(F.count(F.lit(1)).alias("held"))
+        most, n_cells = cells.agg(F.max("held"), F.count(F.lit(1))).first()
+        if depth == 64 or (most or 0) <= capacity:
+            break
+        depth += 1
+    # each cell under all prefixes above it: the shortest that is not overfull is its bucket
+    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", _prefix("cell", depth))
+    sums = levels.groupBy("depth", "prefix").agg(F.sum("held").alias("total")).filter(F.col("total") <= capacity)
+    best = levels.join(sums, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    bucket = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", _prefix("cell", depth), F.lit(depth) - F.col("depth")))
+    return Directory(written(best.withColumn("bucket", bucket), "exact-directory"), depth, n_cells)
+
+
+def _prefix(cell: str, depth: int) -> Column:
+    """The first bits of a cell of this depth, as many as its row's depth says."""
+    return F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col(cell), F.lit(depth) - F.col("depth")))
+
+
+def compare_texts(docs: DataFrame, entries: DataFrame, classes: DataFrame, directory: Directory, key_bits: int = 64) -> DataFrame:
+    """bucket, depth, key, digest, n: texts that share a key with another row, told apart by their bytes by the owner of
+    their bucket. Further texts may come with them."""
+    shared = entries.select("key", "digest", HASH).join(classes.filter("n > 1").select("key", "digest"), ["key", "digest"])
+    table = written(bit_table(shared.select(F.col(HASH).alias("h"))), "exact-bits")
+    suspects = may_be_among(docs.select("text"), text_hash(F.col("text")), table).filter("__maybe")
+    texts = suspects.select(normalise(F.col("text")).alias("norm")).select(key_of(F.col("norm"), key_bits).alias("key"), "norm")
+    merged = directory.route(texts.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n")))
+    owned = merged.repartitionByRange("bucket").groupBy("bucket", "depth", "key", "norm").agg(F.sum("n").alias("n"))
+    return owned.select("bucket", "depth", "key", digest_of(F.col("norm")).alias("digest"), "n")
+
+
+def build_index(docs: DataFrame, entries: DataFrame, classes: DataFrame, directory: Directory, key_bits: int = 64) -> DataFrame:
+    """bucket, depth, key, chain (place in the key's chain), digest, keep_row, keep_id, group_size."""
+    single = directory.route(classes.filter("n = 1")).select("bucket", "depth", "key", "digest", F.col("n").alias("group_size"), "keep_row", "keep_id")
+    compared = written(compare_texts(docs, entries, classes, directory, key_bits), "exact-compared")
+    several = compared.join(classes.filter("n > 1").select("key", "digest", F.col("n").alias("rows"), "keep_row", "keep_id"), ["key", "digest"])
+    counted = F.when(F.col("n") == F.col("rows"), F.col("n")).otherwise(F.raise_error(F.lit("one digest stands for different texts")).cast("long"))
+    entered = single.unionByName(several.select("bucket", "depth", "key", "digest", counted.alias("group_size"), "keep_row", "keep_id"))
+    chain = Window.partitionBy("bucket", "key").orderBy("digest")
+    owned = entered.repartitionByRange("bucket").withColumn("chain", F.row_number().over(chain))
+    return written(owned.select("bucket", "depth", "key", "chain", "digest", "keep_row", "keep_id", "group_size"), "exact-index")
 
 
-def build_entries(docs: DataFrame, key_bits: int = 64) -> DataFrame:
-    norm = normalise(F.col("text"))
-    rows = docs.select(key_of(norm, key_bits).alias("key"), norm.alias("norm"), _rank(F.col("text"), F.col("doc_id")).alias("rank"))
-    grouped = rows.groupBy("key", "norm").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size"))
-    return written(grouped.select("key", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"), _rank_id(F.col("rank")).alias("keep_id"), "group_size"), "exact-entries")
-
-
-def build_directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """cell, depth, bucket (its first cell): a row for each cell that has entries, 2**max_depth at most."""
-    cell = F.shiftrightunsigned("key", 64 - max_depth)
-    cells = entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(max_depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {max_depth} - depth)"))
-    sums = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    # 2 ** (max_depth + 1) rows at most
-    fits = sums.filter((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    best = levels.join(F.broadcast(fits), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    return best.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
-
-
-def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> DataFrame:
-    """bucket, depth, key, chain (place in the key's chain), digest, keep_id, group_size."""
+def probe(entries: DataFrame, directory: Directory, index: DataFrame) -> DataFrame:
+    """The entries with what the index says of them: keep_row, keep_id, group_size."""
+    asked = directory.route(entries).drop("depth")
+    return asked.join(index.select("bucket", "key", "digest", "keep_row", "keep_id", "group_size"), ["bucket", "key", "digest"])
+
+
+def verdicts(docs: DataFrame, capacity: int | None = None, key_bits: int = 64) -> DataFrame:
     entries = build_entries(docs, key_bits)
-    directory = F.broadcast(build_directory(entries, capacity, max_depth))  # 2**max_depth rows at most
-    placed = entries.withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth)).join(directory, "cell").drop("cell")
-    owned = placed.repartitionByRange("bucket")
-    chain = Window.partitionBy("bucket", "key").orderBy("digest")
-    return written(owned.withColumn("chain", F.row_number().over(chain)).select("bucket", "depth", "key", "chain", "digest", "keep_id", "group_size"), "exact-index")
+    classes = build_classes(entries)
+    directory = build_directory(classes, capacity)
+    return probe(entries, directory, build_index(docs, entries, classes, directory, key_bits))
 
 
-def find_copies(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key_bits: int = 64) -> DataFrame:
+def find_copies(docs: DataFrame, capacity: int | None = None, key_bits: int = 64) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(docs, capacity, max_depth, key_bits).select("key", "digest", "keep_id", "group_size")
-    norm = normalise(F.col("text"))
-    probes = docs.select("doc_id", key_of(norm, key_bits).alias("key"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"))
-    found = probes.join(index, ["key", "digest"])
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = verdicts(docs, capacity, key_bits)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that are copies of a row that stays; columns as they were."""
-    kept = find_copies(docs, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    found = verdicts(docs.select("doc_id", "text"), **options)
+    return keep_rows(docs, found.select(F.col("doc_id").alias("__row_id"), HASH, CHARS, (F.col("row") == F.col("keep_row")).alias("kept")))

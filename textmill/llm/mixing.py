@@ -1,15 +1,17 @@
 """Mixing sources to target weights by systematic sampling (DataFrame expressions only).
 
 Every document of a source expects target / source_size copies. Expected copies are summed up along the source, one
-offset is added, and a document is emitted once per integer boundary that its share crosses. Within a source, documents
-stand in the order of a hash of their ids. The offset is drawn from the source's name: of a fixed number of draws, the
-one whose words come nearest to the target counts.
+offset is added, and a document is emitted once per integer boundary that its share crosses. The offset is one draw from
+the source's name. Within a source, documents stand in the order of their sizes, equal ones by a hash of their ids: so
+words taken differ from the target by about one long document at most, whatever the offset (the sum of all deviations up
+to any document is less than one copy).
 
-Prefix sums need no source in one task: the slim rows (id, source, size) are range-partitioned by source, hash and id,
-numbered within partitions by monotonically_increasing_id, and only the counts per partition and source are summed up.
+Prefix sums need no source in one task: the slim rows are range-partitioned by source, size, hash and id, numbered
+within partitions by monotonically_increasing_id, and only the counts per partition and source are summed up.
 
 Defined cases: null text: size 0; null source: a source of its own, last in the order; a source of size 0 gets no
-copies; null or repeated ids are separate rows; an empty table gives an empty result; further columns are ignored.
+copies; null or repeated ids are separate rows, and each is taken as often as the mix says; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, written
+from .rows import CHARS, HASH, ROW_KEY, row_key
 
 #: Bits of monotonically_increasing_id below the partition's number.
 ROW_BITS = 33
@@ -59,16 +62,15 @@ def _md5_number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10)
 
 
-def offset(source: Column, draw: int, seed: str) -> Column:
-    """A number in [0, 1) that depends on the source's name, the draw and the seed alone."""
-    text = F.concat(F.lit(f"{seed}:{draw}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null")))
+def offset(source: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the source's name and the seed alone."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s"), source), F.lit("null")))
     return _md5_number(text, 8).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, draws: int = 64, seed: str = "mix") -> DataFrame:
-    """docs: doc_id, source, text. One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_of(F.col("doc_id"), seed).alias("place")), "mix-sizes")
-    place = ["source", "place", "doc_id", "size"]
+def _mix(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
+    slim = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_of(F.col("doc_id"), seed).alias("place"), *row_key(F.col("doc_id"), F.col("text"))[1:]), "mix-sizes")
+    place = ["source", "size", "place", "doc_id", HASH, CHARS]
     rows = written(slim.repartitionByRange(*place).sortWithinPartitions(*place).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     part = F.shiftright("row", ROW_BITS)
     parts = rows.groupBy("source", part.alias("part")).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -77,31 +79,32 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, draws
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     parts = parts.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "n", "words")
+    parts = parts.withColumns({"u": offset(F.col("source"), seed), "each": F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))})
+    met = rows.join(parts.withColumnsRenamed({"source": "p_source"}), (part == F.col("part")) & F.col("source").eqNullSafe(F.col("p_source")))
+    rank = F.col("before") + F.col("row") - F.col("first")
+    n = F.floor(F.col("u") + F.col("each") * (rank + 1)) - F.floor(F.col("u") + F.col("each") * rank)
+    return met.withColumn("copies", F.least(n, F.lit(cap)).cast("long"))
+
 
-    def ranked(parts: DataFrame) -> DataFrame:
-        p = parts.withColumnsRenamed({"source": "p_source"})
-        r = rows.join(p, (part == F.col("part")) & F.col("source").eqNullSafe(F.col("p_source")))
-        return r.withColumn("rank", F.col("before") + F.col("row") - F.col("first")).withColumn("each", F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
-
-    def copies(u: Column) -> Column:
-        n = F.floor(u + F.col("each") * (F.col("rank") + 1)) - F.floor(u + F.col("each") * F.col("rank"))
-        return F.least(n, F.lit(cap)).cast("long")
-
-    # each draw's words by source: sums of the slim rows only
-    us = [offset(F.col("source"), k, seed) for k in range(draws)]
-    drawn = ranked(parts.withColumns({f"u{k}": u for k, u in enumerate(us)}))
-    tried = drawn.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(F.col(f"u{k}")) * F.col("size")).alias(f"t{k}") for k in range(draws)])
-    miss = F.array(*[F.abs(F.col(f"t{k}") - F.col("target")) for k in range(draws)])
-    best = tried.select(F.col("source").alias("s"), F.array_position(miss, F.array_min(miss)).alias("draw"))
-    parts = parts.join(best, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    parts = parts.withColumn("u", F.element_at(F.array(*us), F.col("draw").cast("int")))
-    out = ranked(parts).withColumn("copies", copies(F.col("u")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it. Rows are told apart by doc_id."""
-    m = mix(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
-    joined = docs.alias("d").join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.id")))
-    times = F.transform(F.sequence(F.lit(1), F.col("m.copies").cast("int")), lambda k: F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns]))
-    return joined.select(F.explode(times).alias("row")).select("row.*")
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """docs: doc_id, source, text. One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    return _mix(docs, weights, cap, seed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """docs with every row repeated as often as the mix takes it; columns as they were. Rows are known by id, source and
+    text; of rows that are equal in all three, each takes its share of their copies."""
+    key = ["__source", *ROW_KEY]
+    taken = _mix(docs, weights, cap, seed).select(F.col("source").alias("__source"), F.col("doc_id").alias("__row_id"), HASH, CHARS, "copies")
+    taken = written(taken.groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "mix-copies")
+    some = taken.filter("__copies > 0").withColumnsRenamed({c: f"{c}_taken" for c in key})
+    keyed = docs.select("*", F.col("source").alias("__source"), *row_key(F.col("doc_id"), F.col("text")))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_taken")) for c in key]
+    met = keyed.join(some, same[0] & same[1] & same[2] & same[3])
+    copies = F.col("__copies")
+    if taken.filter("__rows > 1").limit(1).count():  # only then do equal rows have to be numbered
+        met = met.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+        k = F.col("__k")
+        copies = F.floor(F.col("__copies") * k / F.col("__rows")) - F.floor(F.col("__copies") * (k - 1) / F.col("__rows"))
+    times = F.array_repeat(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), copies.cast("int"))
+    return met.select(F.explode(times).alias("__row")).select("__row.*")

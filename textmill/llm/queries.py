@@ -117,19 +117,12 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN stopped THEN most::DOUBLE ELSE
     (total - coalesce(sum(most) FILTER (WHERE stopped) OVER (), 0))::DOUBLE / (sum(weight) FILTER (WHERE NOT stopped) OVER ())::DOUBLE * weight END AS target FROM c
 ), r AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY ('0x' || substr(md5('mix:' || d.doc_id), 1, 15))::BIGINT, d.doc_id, d.size) - 1 AS rank,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS each
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size, ('0x' || substr(md5('mix:' || d.doc_id), 1, 15))::BIGINT, d.doc_id) - 1 AS rank,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS each,
+    ('0x' || substr(md5('mix:' || coalesce('s' || d.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), u AS (
-  SELECT t.source, k, ('0x' || substr(md5('mix:' || k || ':' || coalesce('s' || source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t, range(64) AS g(k)
-), tried AS (
-  SELECT u.source, u.k, u.u, abs(sum(least(floor(u.u + each * (rank + 1)) - floor(u.u + each * rank), 3) * size) - max(target)) AS miss
-  FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY u.source, u.k, u.u
-), best AS (
-  SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, k) = 1
 )
-SELECT doc_id, size, source_size, target, (least(floor(u + each * (rank + 1)) - floor(u + each * rank), 3) * size)::BIGINT AS taken
-FROM r JOIN best ON r.source IS NOT DISTINCT FROM best.source
+SELECT doc_id, size, source_size, target, (least(floor(u + each * (rank + 1)) - floor(u + each * rank), 3) * size)::BIGINT AS taken FROM r
 """
 
 

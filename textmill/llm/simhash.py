@@ -28,35 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import written
 from .components import components
+from .shingles import BITS, SEED, fingerprint_of, hashes, signed
 
-SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 4
+SHINGLE, RADIUS = 4, 4
 PIVOTS, CHUNK = 16, 16384
 
-#: Shingles whose bits are counted at once, which bounds memory on very long texts.
-_BLOCK = 1 << 16
-
-
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    words = (text or b"").lower().split()  # bytes: A-Z only, and just the six white-space characters of ASCII
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    k = min(shingle, len(words))
-    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), _BLOCK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + _BLOCK], ends[at : at + _BLOCK], strict=True)], dtype=">u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    return fingerprint_of(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -64,7 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([_signed(fingerprint(t, shingle)) for t in b["text"]], np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([signed(fingerprint(t, shingle)) for t in b["text"]], np.int64)})
 
     # ids travel as text: pandas has no integers with nulls by default
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -128,7 +109,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
 
     points = written(distinct.mapInPandas(tabled, "fp long, pivots binary"), "simhash-pivots")
     masks = block_scheme(points.count(), radius)
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]))
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)]))
     # a member of a key: xxhash64 may join two keys by chance, which only adds candidates
     sizes = points.select(keys.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = points.select("fp", "pivots", keys.alias("key")).join(sizes, "key")
@@ -181,13 +162,26 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, c
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(near_links(points.select("fp"), radius, chunk))
     placed = points.join(found, points["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that Spark can split a group that holds very many fingerprints
+    least = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = placed.join(least, "root").select(F.col("fp").alias("p_fp"), "component_id")
     out = rows.join(named, rows["fp"] == named["p_fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def likely_pairs(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """nodes: node, fp. Pairs a, b of nodes: of each fingerprint the least node with all others, and with the least nodes
+    of the fingerprints linked to it."""
+    points = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "simhash-nodes")
+    links = near_links(points.select("fp"), radius, chunk)
+    ends = [points.select(F.col("fp").alias(f"{c}_fp"), F.col("least").alias(c)) for c in ("x", "y")]
+    across = links.join(ends[0], links["a"] == F.col("x_fp")).join(ends[1], links["b"] == F.col("y_fp")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    alike = nodes.join(points.withColumnRenamed("fp", "p_fp"), F.col("fp") == F.col("p_fp")).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return across.union(alike)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document (the smallest doc_id) of each group; columns as they were."""
-    kept = near_groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """docs with one row (the smallest doc_id) of each group of near copies: shingles of five words, Jaccard similarity of
+    0.8 or more; columns as they were. Pairs that the fingerprints and pivots find come first and are verified on their
+    shingles; pairs of that similarity differ by some ten bits, so the rest comes from an exact set-similarity join."""
+    return jaccard.keep_one(docs, guess=likely_pairs, **options)
