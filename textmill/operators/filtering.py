@@ -15,6 +15,7 @@ from ..functions.text import nonempty
 from ..sources import markup, splitting
 from ..sources.requests import detect_format
 from .chunking import parsed_items
+from .log import sequenced
 
 DEFAULT_SOURCE = "filter_stream"
 
@@ -143,10 +144,13 @@ def partition_oversized(chunks: DataFrame, options: FilterOptions, *by: str) ->
     c = chunks.withColumn("__over", over).withColumn("__parts", parts)
     pieces = F.when(F.col("__over") & (F.size("__parts") > 0), F.col("__parts")).otherwise(F.array("data"))
     rows = c.select("*", F.posexplode(pieces).alias("__k", "__piece"))
-    stream = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    renumber = F.max("__over").over(stream)
-    seq = F.row_number().over(stream.orderBy("seq", "__k")).cast("long")
-    rows = rows.withColumn("__any", renumber).withColumn("__seq", seq)
+    if by:  # a stream is one request's, and bounded as such
+        stream = Window.partitionBy(*by)
+        rows = rows.withColumn("__any", F.max("__over").over(stream)).withColumn("__seq", F.row_number().over(stream.orderBy("seq", "__k")).cast("long"))
+    else:
+        any_over = chunks.agg(F.coalesce(F.max(over), F.lit(False))).scalar()
+        placed = sequenced(rows.withColumnRenamed("seq", "__old"), ["__old", "__k"])
+        rows = placed.withColumnsRenamed({"seq": "__seq", "__old": "seq"}).withColumn("__any", any_over)
     size = F.when(F.col("__over"), F.octet_length("__piece"))
     out = rows.withColumn("seq", F.when(F.col("__any"), F.col("__seq")).otherwise(F.col("seq"))).withColumn("data", F.col("__piece")).withColumn("size_bytes", size)
     return out.drop("__over", "__parts", "__k", "__piece", "__any", "__seq")
@@ -190,8 +194,6 @@ def percentile_by_index(values: Column, percent: int) -> Column:
 def distributed_percentiles(values: DataFrame, column: str, percents: tuple[int, ...]) -> DataFrame:
     """The same for a whole table: percent, value. Equal values are merged first; ranks come from their counts, per range
     partition, so no task sees all values."""
-    from .log import sequenced
-
     rows = values.filter(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.monotonically_increasing_id().alias("r"))
     placed = sequenced(rows, ["v", "r"])
     n = rows.count()

@@ -1,6 +1,7 @@
 """The floor: drops what holds no information, by four ordered rules, and counts it by reason.
 
-One shuffle, by request: the windows of question contexts and of duplicates share it.
+One shuffle, which the windows of question contexts and of duplicates share: dialogues by request, since context goes
+along the whole of it; all else by request and text, so that one large log is many tasks.
 """
 
 from __future__ import annotations
@@ -26,15 +27,21 @@ def static_reason(kind: Column, text: Column, config: EngineConfig) -> Column:
 def with_question(candidates: DataFrame) -> DataFrame:
     """Adds question: the content id of the latest earlier turn that is not blank and has another speaker, or ''.
     Parts of a turn share it."""
-    turn = Window.partitionBy("ingest_id").orderBy("pos")
+    c = candidates.withColumn("__apart", _apart())
+    turn = Window.partitionBy("ingest_id", "__apart").orderBy("pos")
     before = turn.rangeBetween(Window.unboundedPreceding, -1)
-    said = F.coalesce("part", F.lit(1)).eqNullSafe(F.lit(1)) & ~is_blank(F.col("text"))
+    said = F.col("__apart").isNull() & F.coalesce("part", F.lit(1)).eqNullSafe(F.lit(1)) & ~is_blank(F.col("text"))
     me = F.struct(F.col("speaker").alias("speaker"), F.coalesce("parent_id", content_id(F.col("text"))).alias("uid"))
-    c = candidates.withColumn("__prev", F.last(F.when(said, me), ignorenulls=True).over(before))
+    c = c.withColumn("__prev", F.last(F.when(said, me), ignorenulls=True).over(before))
     change = F.when(said & (F.col("__prev.speaker") != F.col("speaker")), F.col("__prev.uid"))
     c = c.withColumn("__other", F.last(change, ignorenulls=True).over(before))
     question = F.when(F.col("__prev.speaker") != F.col("speaker"), F.col("__prev.uid")).otherwise(F.col("__other"))
-    return c.withColumn("question", F.coalesce(question, F.lit(""))).drop("__prev", "__other")
+    return c.withColumn("question", F.coalesce(question, F.lit(""))).drop("__prev", "__other", "__apart")
+
+
+def _apart() -> Column:
+    """Null in dialogues, whose rows stay together; a hash of the text elsewhere."""
+    return F.when(~F.col("type").eqNullSafe("dialogue"), F.xxhash64("text"))
 
 
 def floored(candidates: DataFrame, config: EngineConfig | None = None) -> DataFrame:
@@ -45,9 +52,10 @@ def floored(candidates: DataFrame, config: EngineConfig | None = None) -> DataFr
     c = with_question(candidates).withColumn("__static", static_reason(F.col("type"), F.col("text"), config))
     talk = F.col("type") == "dialogue"
     key = [F.when(talk, F.col("speaker")), F.when(talk, F.col("question")), F.col("text")]
-    first = Window.partitionBy("ingest_id", F.col("__static").isNull(), *key).orderBy("pos", F.coalesce("part", F.lit(0)))
+    c = c.withColumn("__apart", _apart())
+    first = Window.partitionBy("ingest_id", "__apart", F.col("__static").isNull(), *key).orderBy("pos", F.coalesce("part", F.lit(0)))
     again = F.col("type").isin(*sorted(config.floor_dedup_types)) & (F.row_number().over(first) > 1)
-    return c.withColumn("reason", F.coalesce("__static", F.when(again, "duplicate"))).drop("__static")
+    return c.withColumn("reason", F.coalesce("__static", F.when(again, "duplicate"))).drop("__static", "__apart")
 
 
 def kept(rows: DataFrame) -> DataFrame:

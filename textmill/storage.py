@@ -1,7 +1,8 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and tables of few partitions spread over all cores."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own on a single machine; on a cluster it must be set, since
+    executors would write to their own disks."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textmill-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -28,3 +32,9 @@ def clear_shared(spark: SparkSession) -> None:
     """Deletes the tables that this library wrote there. Only when no result that reads them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/textmill")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt anew if its files make fewer tasks than the cluster has cores; else as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
