@@ -4,7 +4,7 @@ import pytest
 from textmill.config import EngineConfig
 from textmill.engine import Conflict, Engine
 from textmill.operators.scoring import FunctionEmbedder
-from textmill.streaming.ingest import drain_all, ingest_stream, json_stream
+from textmill.streaming.ingest import drain_all, ingest_stream, json_stream, push_stream
 
 from .test_chunking import requests
 
@@ -41,11 +41,12 @@ def test_back_pressure(spark, tmp_path):
     big = "\n".join(f"{k} " + "x" * 1000 for k in range(700))
     assert e.ingest(requests(spark, [log_request("a", big)]), summary=True)[0].first().accepted == 700
     answers, errors = e.ingest(requests(spark, [log_request("b", big)]), summary=True)
-    assert answers.count() == 0 and errors.first().code == "buffer_full" and errors.first().status == 503
+    assert answers.count() == 0 and errors.first().code == "buffer_full" and errors.first().status == 503 and errors.first().retry_after_s == 5
     assert e.ingest(requests(spark, [log_request("c", big + "\n" + big.replace("x", "y"))]))[1].first().code == "exceeds_buffer_capacity"
     e.ack(e.cursor.epoch, 700)
     assert e.ingest(requests(spark, [log_request("d", big)]), summary=True)[0].first().first_seq == 701
     assert e.stats()["used_bytes"] <= 1 << 20 and e.stats()["backpressure_hits"] == 2
+    assert (e.stats()["backpressure_buffer_full"], e.stats()["backpressure_exceeds_buffer_capacity"]) == (1, 1)
     assert e.drain(0, 1).chunks[0]["seq"] == 701
 
 
@@ -122,3 +123,34 @@ def test_resume_goes_on_where_it_stopped(spark, tmp_path):
     again.ingest(requests(spark, [log_request("b", "4")]), batch_id=1)
     assert [(c["seq"], c["text"]) for c in again.drain().chunks] == [(2, "2"), (3, "3"), (4, "4")]
     assert again.ingest(requests(spark, []), batch_id=2)[0].count() == 0
+
+
+def test_equal_lines_are_requests_of_their_own_in_line_order(spark, tmp_path):
+    for folder in ("in/a", "in/b"):
+        (tmp_path / folder).mkdir(parents=True)
+        lines = [json.dumps({"type": "log", "source": "s", "session": "x", "text": t}) for t in ("z", "same", "a", "same", "", "m")]
+        (tmp_path / folder / "same.json").write_text("\n\n".join(lines))
+    e = engine(spark, tmp_path / "log")
+    ingest_stream(json_stream(spark, str(tmp_path / "in/*")), e, str(tmp_path / "cp")).awaitTermination()
+    assert [c["text"] for c in e.drain().chunks] == ["z", "same", "a", "same", "m"] * 2
+
+
+def test_push_stream_delivers_every_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(2):
+        (src / f"{k}.json").write_text(json.dumps({"type": "log", "source": "s", "session": "x", "text": f"{k}a\n{k}b"}))
+    e, got, fails = engine(spark, tmp_path / "log", push_url="http://h/x", push_batch=3), [], [503]
+
+    def send(body):
+        if fails:
+            return fails.pop(), "1", b""
+        page = json.loads(body)
+        got.extend(c["text"] for c in page["chunks"])
+        return 200, "", json.dumps({"epoch": page["epoch"], "accepted_up_to_seq": page["last_seq"]}).encode()
+
+    waits = []
+    push_stream(json_stream(spark, str(src), 1), e, str(tmp_path / "cp"), send, waits.append).awaitTermination()
+    assert sorted(got) == ["0a", "0b", "1a", "1b"] and waits == [1.0] and e.records.count() == 0
+    s = e.stats()
+    assert (s["total_ingested_count"], s["evicted_acked_count"], s["dropped_packets"], s["last_seq"]) == (4, 4, 0, 4) and s["uptime_seconds"] > 0

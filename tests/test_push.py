@@ -113,3 +113,38 @@ def test_run_stops():
     log, waits = Log(3), []
     pusher(log, Receiver()).run(waits.append, lambda: bool(waits))
     assert log.acked == 3 and waits == [1.0]
+
+
+def test_http_transport_sends_the_key_and_reads_every_status():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from textmill.streaming.push import http_transport
+
+    seen = []
+
+    class Receiver(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Authorization"], self.headers["Content-Type"], self.rfile.read(int(self.headers["Content-Length"]))))
+            status = 503 if len(seen) == 1 else 200
+            self.send_response(status)
+            if status == 503:
+                self.send_header("Retry-After", "2")
+            self.end_headers()
+            self.wfile.write(b"said")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    send = http_transport(f"http://127.0.0.1:{server.server_port}/x", "key", 5)
+    assert send(b"{}") == (503, "2", b"said") and send(b"[]") == (200, "", b"said")
+    assert seen == [("Bearer key", "application/json", b"{}"), ("Bearer key", "application/json", b"[]")]
+    server.shutdown()
+    server.server_close()
+    try:
+        send(b"{}")
+    except OSError:
+        return
+    raise AssertionError("a receiver that is gone can't reply")

@@ -8,6 +8,7 @@ was cut off, or is run again, overwrites itself; and resume() goes on where an e
 from __future__ import annotations
 
 import json
+import time
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import replace
@@ -22,7 +23,7 @@ from .operators import filtering, log, scoring
 from .operators.log import Cursor
 from .plans import ingest as plan
 from .storage import written
-from .streaming.push import Page, Pusher, Transport
+from .streaming.push import Page, Pusher, Transport, http_transport
 
 VERSION = "1.0"
 
@@ -40,6 +41,7 @@ class Engine:
         self.evicted, self.last_batch = 0, -1
         self._changes = 0
         self._counters: Counter = Counter()
+        self._started = time.time()
 
     @classmethod
     def resume(cls, spark: SparkSession, root: str, epoch: str, config: EngineConfig | None = None, embedder: scoring.Embedder | None = None) -> Engine:
@@ -83,10 +85,11 @@ class Engine:
         place = F.row_number().over(plan.in_order(records)) - 1
         numbered = records.withColumn("__place", place).join(stored, F.col("ingest_id") == F.col("v_id")).withColumn("seq", F.col("v_first") + F.col("__place"))
         path = f"{self.root}/{self.cursor.epoch}/records/{self.cursor.next_seq:020d}"
-        final = numbered.withColumn("ts", F.coalesce("ts", F.current_timestamp())).select(*[f.name for f in _RECORD.fields])
+        final = numbered.withColumns({"ts": F.coalesce("ts", F.current_timestamp()), "stored_at": F.current_timestamp()}).select(*[f.name for f in _RECORD.fields])
         final.write.mode("overwrite").parquet(path)
         last = verdicts.agg(F.coalesce(F.max("last_seq"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("outcome") == "stored", F.col("needed"))), F.lit(0))).first()
         self.cursor = replace(self.cursor, next_seq=self.cursor.next_seq + last[0])
+        self._counters["ingested_bytes"] += int(last[1])
         if (excess := held[1] + last[1] - capacity) > 0:
             left = log.evict_until(self.records, self.cursor, excess).agg(F.min("seq")).first()[0]
             self.evicted = max(self.evicted, (left or self.cursor.next_seq) - 1)
@@ -110,8 +113,12 @@ class Engine:
             F.lit("nothing of this request was stored").alias("message"),
         )
         refused = written(refused, "refused")
-        self._counters["backpressure_hits"] += refused.count()
-        return answers, result.rejected.unionByName(refused)
+        for r in refused.groupBy("code").count().collect():  # two codes
+            self._counters["backpressure_hits"] += r["count"]
+            self._counters[f"backpressure_{r['code']}"] += r["count"]
+        # only a buffer that is full empties in time
+        wait = F.when(F.col("status") == 503, self.config.backpressure_retry_after_s)
+        return answers, result.rejected.unionByName(refused).withColumn("retry_after_s", wait)
 
     def _page(self, after: int, most: int) -> Page:
         rows = log.drain(self.records, self.cursor, after, most + 1).collect()  # a page
@@ -151,8 +158,10 @@ class Engine:
         found = log.query(self.records, limit, cutoff, since_seq)
         return found.select("seq", F.col("ts").alias("timestamp"), F.col("source").alias("origin"), F.col("text").alias("data"), F.octet_length("text").alias("size_bytes"))
 
-    def pusher(self, send: Transport) -> Pusher:
+    def pusher(self, send: Transport | None = None) -> Pusher:
+        """send: another way out than HTTP to PUSH_URL."""
         c = self.config
+        send = send or http_transport(c.push_url, c.push_api_key, c.push_timeout_ms / 1000)
 
         def ack(epoch: str, up_to: int) -> None:
             self._ack(epoch, up_to)
@@ -191,7 +200,12 @@ class Engine:
 
     def stats(self) -> dict:
         out = log.stats(self.records, self.cursor, self.config.capacity_bytes).first().asDict()
-        out |= {"backpressure_hits": 0} | self._counters
+        out |= {"backpressure_hits": 0, "backpressure_buffer_full": 0, "backpressure_exceeds_buffer_capacity": 0} | self._counters
+        # of records that were never acknowledged none is dropped, by design
+        out |= {"last_seq": self.cursor.next_seq - 1, "total_ingested_count": self.cursor.next_seq - 1, "total_ingested_bytes": self._counters["ingested_bytes"], "evicted_acked_count": self.evicted, "dropped_packets": 0, "dropped_bytes": 0}
+        now = int(time.time())
+        recent = self.records.filter(F.unix_seconds("stored_at") > now - log.RATE_SECONDS).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        out |= {"ingestion_rate_kbps": recent / log.RATE_SECONDS / 1024.0, "uptime_seconds": time.time() - self._started}
         if evaluated := self._counters["filter_evaluated"]:
             out["filter_noise_reduction_ratio"] = self._counters["filter_discarded"] / evaluated
         return out
@@ -216,5 +230,6 @@ _RECORD = T.StructType(
         T.StructField("strong", T.BooleanType()),
         T.StructField("score_status", T.StringType()),
         T.StructField("size", T.LongType()),
+        T.StructField("stored_at", T.TimestampType()),
     ]
 )

@@ -39,10 +39,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import engine_queries  # noqa: F401  adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import engine_queries  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -132,7 +136,7 @@ def _markdown(text: F.Column) -> F.Column:
     """Some lines become headings, some a fenced block with a blank line in it."""
     rows = F.transform(
         F.split(text, "\n", -1),
-        lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("\n"), F.element_at(F.array(F.lit("# "), F.lit("## "), F.lit("### ")), (i / 5 % 3).cast("int") + 1), F.substring(x, 1, 40), F.lit("\n")))
+        lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("\n"), F.element_at(F.array(F.lit("# "), F.lit("## "), F.lit("### ")), (i / 5 % 3).cast("int") + 1), x, F.lit("\n")))
         .when(i % 7 == 0, F.concat(F.lit("```\n"), x, F.lit("\n\nend\n```\n")))
         .otherwise(x),
     )
@@ -550,16 +554,22 @@ def ingest_records(spark, sf_dir):
     return log.sequenced(records, ["doc_id", "pos", "part"]).select("doc_id", "pos", "part", "seq", "id", "size")
 
 
-@query("SELECT conv_id, count(*) AS chunks, true AS together FROM conversations WHERE NOT (" + _blank("text") + ") GROUP BY conv_id")
+@query(
+    f"""WITH n AS (SELECT conv_id, count(*) FILTER (WHERE NOT ({_blank('text')})) AS chunks FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, chunks, unnest(range(0, CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 1 END)) AS copy FROM n)
+SELECT conv_id, chunks, (coalesce(sum(chunks) OVER (ORDER BY conv_id, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1)::BIGINT AS first_seq FROM r"""
+)
 def stream_ingest(spark, sf_dir):
-    """Conversations as JSON requests in files, streamed into a log. Chunks of a request have neighbouring numbers."""
+    """Conversations as JSON requests in the lines of files, every fifth one twice, streamed into a log: equal requests are
+    stored each, in the order of lines, and a request's chunks have neighbouring numbers."""
     root = f"{shared_root(spark)}/textmill/stream-{uuid.uuid4().hex}"
-    talks = samples.dialogues(spark, sf_dir).select(F.to_json(F.struct("type", "source", F.col("ingest_id").alias("session"), "turns")).alias("value"))
-    talks.write.text(f"{root}/in")
+    talks = samples.dialogues(spark, sf_dir).withColumn("n", F.col("ingest_id").cast("long"))
+    talks = talks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("n") % 5 == 0, 1).otherwise(0)))).orderBy("n", "copy")
+    talks.select(F.to_json(F.struct("type", "source", F.col("ingest_id").alias("session"), "turns")).alias("value")).write.text(f"{root}/in")
     engine = Engine(spark, f"{root}/log", EngineConfig(embed_provider="none", chunk_max_bytes=1 << 30, capacity_mb=1 << 20))
-    ingest_stream(json_stream(spark, f"{root}/in"), engine, f"{root}/checkpoint").awaitTermination()
-    by_request = engine.records.groupBy(F.col("session").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("chunks"), (F.max("seq") - F.min("seq") + 1).alias("span"))
-    return by_request.select("conv_id", "chunks", (F.col("span") == F.col("chunks")).alias("together"))
+    ingest_stream(json_stream(spark, f"{root}/in", 1 << 20), engine, f"{root}/checkpoint").awaitTermination()
+    by_request = engine.records.groupBy("ingest_id", F.col("session").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("chunks"), F.min("seq").alias("first_seq"), (F.max("seq") - F.min("seq") + 1).alias("span"))
+    return by_request.filter("span = chunks").select("conv_id", "chunks", "first_seq")
 
 
 @query(f"SELECT doc_id, {_blank('text')} AS blank FROM documents")

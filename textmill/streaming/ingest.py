@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..engine import Engine
 from ..sources.requests import read_json
 from ..storage import written
-from .push import Page
+from .push import Page, Transport
 
 
 def json_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -44,6 +45,13 @@ def ingest_stream(stream: DataFrame, engine: Engine, checkpoint: str, on_batch:
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def push_stream(stream: DataFrame, engine: Engine, checkpoint: str, send: Transport | None = None, sleep: Callable[[float], None] = time.sleep, most_failures: int | None = None) -> StreamingQuery:
+    """Ingests every micro-batch and delivers the log to PUSH_URL before the next one. What is not delivered stays in the
+    log, whose cursor says so, and goes out with a later batch or by engine.pusher() after a restart."""
+    pusher = engine.pusher(send)
+    return ingest_stream(stream, engine, checkpoint, lambda answers, errors: pusher.empty(sleep, most_failures))
+
+
 def drain_all(engine: Engine, page_size: int, take: Callable[[Page], None]) -> int:
     """The pull consumer: drains, hands pages over, acknowledges. How many chunks went out."""
     n = 0

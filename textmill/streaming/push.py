@@ -8,6 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
 
 log = logging.getLogger(__name__)
 
@@ -17,6 +19,25 @@ MOST_RETRY_AFTER_S, SNIPPET_BYTES = 3600.0, 300
 Transport = Callable[[bytes], tuple[int, str, bytes]]
 
 
+#: Bytes of a reply that are read.
+REPLY_BYTES = 64 << 10
+
+
+def http_transport(url: str, api_key: str = "", timeout_s: float = 10.0) -> Transport:
+    """Posts a page as JSON, with the key as a bearer token. Replies of any status are replies; OSError means none came."""
+
+    def send(body: bytes) -> tuple[int, str, bytes]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+        try:
+            with urlopen(Request(url, body, headers, method="POST"), timeout=timeout_s) as reply:
+                return reply.status, reply.headers.get("Retry-After") or "", reply.read(REPLY_BYTES)
+        except HTTPError as e:
+            with e:
+                return e.code, e.headers.get("Retry-After") or "", e.read(REPLY_BYTES)
+
+    return send
+
+
 class DeliveryFailure(Exception):
     def __init__(self, kind: str, detail: str = "", retry_after: float = 0.0, our_fault: bool = False):
         super().__init__(f"{kind}: {detail}" if detail else kind)
@@ -129,6 +150,19 @@ class Pusher:
         self.ack(page.epoch, up_to)
         return 0.0
 
+    def empty(self, sleep: Callable[[float], None], most_steps: int | None = None) -> bool:
+        """Delivers until nothing is left, waiting as step() says after failures; whether all went out."""
+        steps = 0
+        while most_steps is None or steps < most_steps:
+            wait = self.step()
+            if not wait:
+                continue
+            if not self._failing:
+                return True
+            steps += 1
+            sleep(wait)
+        return False
+
     def run(self, sleep: Callable[[float], None], stop: Callable[[], bool]) -> None:
         while not stop():
             if wait := self.step():
