@@ -370,14 +370,64 @@ def test_exchange_climbs(spark):
 
 def test_model_is_a_distribution():
     rng = np.random.default_rng(0)
-    b = rng.integers(0, 5, (brown.UNITS, brown.UNITS)).astype(float)
-    vocabulary = rng.integers(1, 4, brown.UNITS).astype(float)
-    m = brown.Model(b, vocabulary, int(b.sum()), int(vocabulary.sum()))
+    pairs = rng.integers(0, 50, (brown.CLASSES, brown.CLASSES)).astype(float)
+    distinct = rng.integers(1, 40, brown.CLASSES).astype(float)
+    m = brown.Model(pairs, distinct, int(pairs.sum()), int(distinct.sum()))
     assert np.allclose((10**m.transitions).sum(1), 1)
-    size, kinds = b.sum(0), np.bincount(m.of, vocabulary, brown.CLASSES)
-    for c in np.unique(m.of):
-        total = size[m.of == c].sum()
-        assert (total + brown.ADD * kinds[c] + brown.ADD) / m.room[c] == pytest.approx(1)
+    assert np.allclose((pairs.sum(0) + brown.ADD * distinct + brown.ADD) / m.room, 1)
+
+
+def test_words_go_to_the_class_of_greatest_likelihood():
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(1, 60, (6, 6)).astype(float)
+    before, behind = rng.integers(0, 9, (20, 6)).astype(float), rng.integers(0, 9, (20, 6)).astype(float)
+    got = brown.best_classes(before, behind, pairs)
+    m = pairs + brown.PULL / 6
+    for w in range(20):
+        n = before[w].sum()
+
+        def likelihood(b, w=w, n=n):
+            ahead = sum(behind[w, c] * math.log(m[b, c] / m[b].sum()) for c in range(6))
+            return ahead + sum(before[w, c] * math.log(m[c, b] / m[c].sum()) for c in range(6)) - n * math.log(m[:, b].sum())
+
+        assert got[w] == max(range(1, 6), key=likelihood)
+
+
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    """Classes as found; transitions, emissions and smoothing by hand."""
+    docs = spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {}
+
+    def cluster(encoded, known, clustered, real=brown.cluster):
+        classes, pairs = real(encoded, known, clustered)
+        found.update(classes=classes, known=known)
+        return classes, pairs
+
+    monkeypatch.setattr(brown, "cluster", cluster)
+    got = brown.score_texts(docs, head_size=6000, clustered=3000).collect()
+    classes, known = found["classes"], found["known"]
+    assert len(set(classes[brown.WORD_UNITS : 3000])) > 20
+    of = lambda w: 0 if w == "\n" else int(classes[known.place[w.encode()]] if w.encode() in known.place else classes[known.size + brown.form_of(w.encode())])
+    counts, pairs = Counter(), Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            w = [*tokens(t), "\n"]
+            counts.update(w)
+            c = [0, *map(of, w)]
+            pairs.update(zip(c, c[1:]))
+    size, out, kinds = Counter(), Counter(), Counter(map(of, counts))
+    for (a, b), n in pairs.items():
+        size[b] += n
+        out[a] += n
+    total = sum(size.values())
+    share = lambda c: (size[c] + 1) / (total + brown.CLASSES)
+    for r in got:
+        w = [*tokens(texts[r.doc_id]), "\n"]
+        c = [0, *map(of, w)]
+        score = sum(math.log10((pairs[a, b] + brown.PULL * share(b)) / (out[a] + brown.PULL)) for a, b in zip(c, c[1:]))
+        score += sum(math.log10((counts[x] + brown.ADD) / (size[k] + brown.ADD * (kinds[k] + 1))) for x, k in zip(w, c[1:]))
+        assert r.score == pytest.approx(score)
 
 
 def test_lm_odd_cases(spark):

@@ -3,13 +3,17 @@
     P(text) = product of P(class of token | class of the token before) * P(token | its class)
 
 1. Vocabulary: counts of every token of all learning texts, merged in each task and summed by Spark.
-2. Units: the WORD_UNITS most frequent words are units of their own, the end token is one, and every other word belongs
-   to one of FORM_UNITS by its last bytes. So every word has a unit, known or not, and units don't grow with the corpus.
-3. Unit bigrams over all learning texts; exchange clustering on the driver moves units between CLASSES classes while the
-   likelihood of the class bigrams grows. Its input is (WORD_UNITS + FORM_UNITS + 1)**2 counts at most.
-4. Scores: transitions are summed up in the scan. Tokens among the HEAD most frequent words find their counts in a
-   table of at most HEAD words of 64 bytes that each task has; all others are joined with the whole vocabulary by Spark,
-   once per document and word. So every count is exact, however large the vocabulary.
+2. Texts as numbers: one scan writes each text's words as places among the HEAD most frequent words, whose table of at
+   most HEAD words of 64 bytes each task has. A word that is not among them becomes one of FORM_UNITS groups by its last
+   bytes. All later steps read these numbers, not the texts.
+3. Exchange clustering of the most frequent words: the driver moves END, WORD_UNITS words and the groups between CLASSES
+   classes while the likelihood of the class bigrams grows, on (WORD_UNITS + FORM_UNITS + 1)**2 counts at most.
+4. Exchange of all other words up to the CLUSTERED most frequent: each goes to the class that makes the likelihood
+   largest, given all its own contexts in the corpus (classes before and behind it). Counts are summed, and words placed,
+   in tasks that hold a range of words each. Only words beyond those take the class of their group.
+5. Transitions between the classes so found are counted again over all learning texts.
+6. Scores: transitions and frequent words are summed up per text; the words that are not among the HEAD are joined with
+   the whole vocabulary by Spark, once per document and word. So every count is exact, however large the vocabulary.
 
 Transitions are smoothed towards the classes' shares, emissions by ADD with one slot for all unknown words of a class,
 so that the probabilities of a class sum to one.
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, worker_cache, written
 
 END = "\n"  # no word holds white space
-HEAD, HEAD_BYTES, WORD_UNITS, FORM_UNITS, CLASSES = 200_000, 64, 255, 1280, 128
+HEAD, HEAD_BYTES, CLUSTERED = 200_000, 64, 1 << 15
+WORD_UNITS, FORM_UNITS, CLASSES = 1023, 512, 128
 UNITS = 1 + WORD_UNITS + FORM_UNITS
 ADD, BASE_ADD, PULL, PASSES = 0.1, 0.1, 1.0, 6
 HELD_OUT_FOLDS = 10
@@ -51,8 +56,8 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # bytes: A-Z only, and the six white-space characters of ASCII
 
 
-def form_unit(word: bytes) -> int:
-    return 1 + WORD_UNITS + zlib.crc32(word[-3:]) % FORM_UNITS
+def form_of(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % FORM_UNITS
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -134,22 +139,21 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = PASSES)
 
 
 class Head:
-    """The most frequent words: their places, counts and units."""
+    """The most frequent words: their places and counts. A word's number is its place, or for all others the number of
+    places plus its form; END has a place as well, but no text has it."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         self.place = {w: k for k, w in enumerate(words)}
-        self.counts = np.append(counts, 0)
-        units = [0 if w == END.encode() else 1 + k if k < WORD_UNITS else form_unit(w) for k, w in enumerate(words)]
-        self.units = np.array([*units, 0], np.int64)
+        self.counts, self.size = counts, len(words)
+        units = [0 if w == END.encode() else 1 + k if k < WORD_UNITS else 1 + WORD_UNITS + form_of(w) for k, w in enumerate(words)]
+        self.units = np.array([*units, *range(1 + WORD_UNITS, UNITS)], np.int32)  # by number
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places (-1: not among them) and units of words."""
-        at = np.fromiter(map(self.place.get, words, [-1] * len(words)), np.int64, len(words))
-        units = self.units[at]
+        """Numbers of words, and where those are that have no place."""
+        at = np.fromiter(map(self.place.get, words, [-1] * len(words)), np.int32, len(words))
         rare = np.flatnonzero(at < 0)
-        if len(rare):
-            units[rare] = [form_unit(words[k]) for k in rare]
-        return at, units
+        at[rare] = [self.size + form_of(words[k]) for k in rare]
+        return at, rare
 
 
 class SharedHead:
@@ -170,40 +174,145 @@ class SharedHead:
         return cache["head"]
 
 
-def bigram_counts(texts: DataFrame, head) -> np.ndarray:
-    """texts: text (binary); head: a SharedHead. How often each unit follows each other, over all texts."""
+_ENCODED = [pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+
+
+def encode(docs: DataFrame, head: SharedHead) -> DataFrame:
+    """row, doc_id, learn, numbers (32-bit, one a word), rare (words without a place, each once), times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = head.value
+        for b in batches:
+            numbers, rare, times = [], [], []
+            for text in b["text"]:
+                words = tokens(text.as_py())
+                at, odd = known.look_up(words)
+                numbers.append(at.astype("<i4").tobytes())
+                seen = Counter(words[k] for k in odd.tolist())
+                rare.append([w.decode("utf-8", "replace") for w in seen])
+                times.append(list(seen.values()))
+            columns = [b["row"], b["doc_id"], b["learn"], *[pa.array(c, t) for c, t in zip((numbers, rare, times), _ENCODED[3:], strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "learn", "numbers", "rare", "times"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), (~held_out(F.col("doc_id"))).alias("learn"), F.col("text").cast("binary").alias("text"))
+    return written(numbered.mapInArrow(run, "row long, doc_id string, learn boolean, numbers binary, rare array<string>, times array<long>"), "brown-encoded")
+
+
+def _bigrams(encoded: DataFrame, classes: SharedArray, kinds: int) -> np.ndarray:
+    """How often each class follows each other, over all learning texts. classes: by a word's number; END is 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, known = np.zeros(UNITS * UNITS, np.int64), head.value
+        of, table = classes.value, np.zeros(kinds * kinds, np.int64)
         for b in batches:
             codes = []
-            for text in b["text"]:
-                _, units = known.look_up(tokens(text))
-                codes.append(np.append(0, units) * UNITS + np.append(units, 0))
+            for x in b["numbers"]:
+                c = of[np.frombuffer(x, "<i4")].astype(np.int64)
+                codes.append(np.append(0, c) * kinds + np.append(c, 0))
             if codes:
-                table += np.bincount(np.concatenate(codes), minlength=UNITS * UNITS)
+                table += np.bincount(np.concatenate(codes), minlength=kinds * kinds)
         code = np.flatnonzero(table)
         yield pd.DataFrame({"code": code, "n": table[code]})
 
-    rows = texts.mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # UNITS**2 rows at most
-    out = np.zeros(UNITS * UNITS)
+    rows = encoded.filter("learn").select("numbers").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # kinds**2 rows at most
+    out = np.zeros(kinds * kinds)
     out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return out.reshape(UNITS, UNITS)
+    return out.reshape(kinds, kinds)
+
+
+class SharedArray:
+    """An array that tasks read; plain bytes are broadcast."""
+
+    def __init__(self, spark: SparkSession, values: np.ndarray):
+        self.shared = spark.sparkContext.broadcast(values.astype(np.int32).tobytes())
+
+    @property
+    def value(self) -> np.ndarray:
+        return np.frombuffer(self.shared.value, np.int32)
+
+
+#: Words whose contexts are summed up and which are placed in one task; counts that a task collects before it adds them up.
+_RANGE, _CODES = 256, 1 << 21
+
+
+def best_classes(before: np.ndarray, behind: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class of each word (row) that makes the likelihood largest, given how often each class stands before and
+    behind it, and pairs of classes. Class 0 is END's own."""
+    m = pairs + PULL / len(pairs)
+    n = before.sum(1, keepdims=True)
+    gain = behind @ np.log(m / m.sum(1, keepdims=True)).T + before @ np.log(m) - n * np.log(m.sum(0))
+    gain[:, 0] = -np.inf
+    return np.argmax(gain, axis=1)
+
+
+def place_words(encoded: DataFrame, classes: np.ndarray, pairs: np.ndarray, n_words: int) -> np.ndarray:
+    """Classes of the words with places up to n_words, by their contexts in all learning texts."""
+    shared = SharedArray(encoded.sparkSession, classes)
+    width = 2 * CLASSES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, table = shared.value, np.zeros(n_words * width, np.uint32)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                code, n = np.unique(np.concatenate(held), return_counts=True)
+                table[code] += n.astype(np.uint32)
+                held.clear()
+
+        for b in batches:
+            for x in b["numbers"]:
+                at = np.frombuffer(x, "<i4").astype(np.int64)
+                c = np.concatenate(([0], of[at], [0]))
+                mine = np.flatnonzero(at < n_words)
+                held += [at[mine] * width + c[mine], at[mine] * width + CLASSES + c[mine + 2]]
+                if sum(map(len, held)) > _CODES:
+                    add()
+        add()
+        step = _RANGE * width
+        some = [k for k in range(0, len(table), step) if table[k : k + step].any()]
+        if some:
+            yield pd.DataFrame({"range": [k // step for k in some], "counts": [zlib.compress(table[k : k + step].tobytes(), 1) for k in some]})
+
+    def place(b: pd.DataFrame) -> pd.DataFrame:
+        first = int(b["range"].iloc[0]) * _RANGE
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(float) for x in b["counts"]).reshape(-1, 2, CLASSES)
+        met = np.flatnonzero(total[:, 0].sum(1))
+        return pd.DataFrame({"place": first + met, "class": best_classes(total[met, 0], total[met, 1], pairs)})
+
+    parts = encoded.filter("learn").select("numbers").mapInPandas(run, "range int, counts binary")
+    rows = parts.groupBy("range").applyInPandas(place, "place int, class int").toPandas()  # n_words rows at most
+    out = classes[:n_words].copy()
+    out[rows["place"].to_numpy(np.int64)] = rows["class"].to_numpy(np.int64)
+    return out
+
+
+def cluster(encoded: DataFrame, known: Head, clustered: int = CLUSTERED) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each number, and how often each class follows each other."""
+    spark = encoded.sparkSession
+    bigrams = _bigrams(encoded, SharedArray(spark, known.units), UNITS)
+    of = exchange(bigrams)
+    classes = of[known.units]
+    n_words = min(clustered, known.size)
+    if n_words > WORD_UNITS:
+        member = np.zeros((UNITS, CLASSES))
+        member[np.arange(UNITS), of] = 1
+        placed = place_words(encoded, classes, member.T @ bigrams @ member, n_words)
+        mine = np.arange(WORD_UNITS, n_words)
+        mine = mine[known.units[mine] != 0]
+        classes[mine] = placed[mine]
+    return classes, _bigrams(encoded, SharedArray(spark, classes), CLASSES)
 
 
 class Model:
     """Logs (base 10) of transitions between classes, and what emissions need of each class."""
 
-    def __init__(self, bigrams: np.ndarray, vocabulary_by_unit: np.ndarray, n: int, v: int):
+    def __init__(self, pairs: np.ndarray, distinct: np.ndarray, n: int, v: int):
+        """pairs: of classes; distinct: words of the vocabulary in each class."""
         self.n, self.v = n, v
-        self.of = exchange(bigrams)
-        member = np.zeros((UNITS, CLASSES))
-        member[np.arange(UNITS), self.of] = 1
-        pairs = member.T @ bigrams @ member
         size = pairs.sum(0)
         share = (size + 1) / (size.sum() + CLASSES)
         self.transitions = np.log10((pairs + PULL * share) / (pairs.sum(1, keepdims=True) + PULL))
-        self.room = size + ADD * (member.T @ vocabulary_by_unit + 1)  # by class
+        self.room = size + ADD * (distinct + 1)  # by class
         self.base_room = n + BASE_ADD * (v + 1)
 
     def emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -213,19 +322,18 @@ class Model:
         return np.log10((counts + BASE_ADD) / self.base_room)
 
 
-def vocabulary_by_unit(vocabulary: DataFrame, head) -> np.ndarray:
-    """How many distinct words each unit has."""
+def vocabulary_by_class(vocabulary: DataFrame, head: SharedHead, classes: SharedArray) -> np.ndarray:
+    """How many distinct words each class has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, known = np.zeros(UNITS, np.int64), head.value
+        n, known, of = np.zeros(CLASSES, np.int64), head.value, classes.value
         for b in batches:
-            words = [w.encode() for w in b["word"]]
-            n += np.bincount(known.look_up(words)[1], minlength=UNITS)
-        yield pd.DataFrame({"unit": np.arange(UNITS), "n": n})
+            n += np.bincount(of[known.look_up([w.encode() for w in b["word"]])[0]], minlength=CLASSES)
+        yield pd.DataFrame({"class": np.arange(CLASSES), "n": n})
 
-    rows = vocabulary.select("word").mapInPandas(run, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(UNITS)
-    out[rows["unit"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+    rows = vocabulary.select("word").mapInPandas(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CLASSES)
+    out[rows["class"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return out
 
 
@@ -233,64 +341,52 @@ def held_out(doc_id):
     return crc32_mod(doc_id, HELD_OUT_FOLDS) == 0
 
 
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-_ROW = "row long, doc_id string, word string, times long, class int, n_tokens long, n_known long, base double, score double"
-
-
-def score_texts(docs: DataFrame, head_size: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, head_size: int = HEAD, clustered: int = CLUSTERED) -> DataFrame:
     """docs: doc_id, text. One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    text = F.col("text").cast("binary").alias("text")
-    learning = docs.filter(~held_out(F.col("doc_id"))).select(text)
+    learning = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text"))
     vocabulary = written(count_words(learning), "brown-vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
     top = frequent(vocabulary, head_size).toPandas().sort_values(["c", "word"], ascending=[False, True])
     head = SharedHead(spark, top["word"].tolist(), top["c"].tolist())  # head_size words of HEAD_BYTES at most
-    model = Model(bigram_counts(learning, head), vocabulary_by_unit(vocabulary, head), n, v)
+    known = Head([w.encode() for w in top["word"]], top["c"].to_numpy(np.int64))
+    encoded = encode(docs, head)
+    classes, pairs = cluster(encoded, known, clustered)
+    shared = SharedArray(spark, classes)
+    model = Model(pairs, vocabulary_by_class(vocabulary, head, shared), n, v)
+    counts = SharedArray(spark, np.minimum(known.counts, 2**31 - 1)) if known.size and known.counts.max() < 2**31 else None
+    large = None if counts else known.counts
+    end_count = known.counts[known.place[END.encode()]] if END.encode() in known.place else 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
-        classes = model.of[known.units]
-        emission, base = model.emission(known.counts, classes), model.base(known.counts)
-        end_count = known.counts[known.place[END.encode()]] if END.encode() in known.place else 0
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = shared.value
+        held = counts.value.astype(np.int64) if counts else large
+        emission, base = model.emission(held, of[: len(held)]), model.base(held)
+        # words without a place are added by the join
+        emission, base = (np.append(x, np.zeros(FORM_UNITS)) for x in (emission, base))
+        is_known = np.append(held > 0, np.zeros(FORM_UNITS, bool))
         end = np.array([end_count])
-        end_emission, end_base = float(model.emission(end, model.of[:1])[0]), float(model.base(end)[0])
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names)
-
+        end_emission, end_base = float(model.emission(end, np.zeros(1, np.int64))[0]), float(model.base(end)[0])
         for b in batches:
-            rows = []
-            for row, doc_id, text in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["text"], strict=True):
-                words = tokens(text.as_py())
-                at, units = known.look_up(words)
-                c = np.concatenate(([0], model.of[units], [0]))
-                found = at[at >= 0]
-                rare = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
-                total = float(model.transitions[c[:-1], c[1:]].sum() + emission[found].sum()) + end_emission
-                # a word of its own for the row of sums: no text has it, and rows spread evenly over the join
-                rows.append((row, doc_id, f"\n{row}", 0, 0, len(words) + 1, len(found) + (end_count > 0), float(base[found].sum()) + end_base, total))
-                rows += [(row, None, w.decode("utf-8", "replace"), k, int(model.of[form_unit(w)]), 0, 0, 0.0, 0.0) for w, k in rare.items()]
-                if len(rows) > _ROWS:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-
-    names = [x.split()[0] for x in _ROW.split(", ")]
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), text)
-    parts = numbered.mapInArrow(run, _ROW)
-    met = parts.join(vocabulary.withColumnRenamed("word", "known_word"), F.col("word") == F.col("known_word"), "left")
-    c = F.coalesce("c", F.lit(0))
-    room = F.element_at(F.array(*[F.lit(float(x)) for x in model.room]), F.col("class") + 1)
-    rare = F.col("times") > 0
-    out = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(rare & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(rare, F.col("times") * F.log10((c + F.lit(BASE_ADD)) / F.lit(float(model.base_room)))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(rare, F.col("times") * F.log10((c + F.lit(ADD)) / room)).otherwise(0.0)).alias("score"),
-    )
+            sums = []
+            for x in b["numbers"]:
+                at = np.frombuffer(x, "<i4")
+                c = np.concatenate(([0], of[at], [0]))
+                sums.append((len(at) + 1, int(is_known[at].sum()) + int(end_count > 0), float(base[at].sum()) + end_base, float(model.transitions[c[:-1], c[1:]].sum() + emission[at].sum()) + end_emission))
+            yield pd.concat([b[["row", "doc_id"]].reset_index(drop=True), pd.DataFrame(sums, columns=["n_tokens", "n_known", "base", "score"])], axis=1)
+
+    whole = encoded.select("row", "doc_id", "numbers").mapInPandas(run, "row long, doc_id string, n_tokens long, n_known long, base double, score double")
+    rare = encoded.filter(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    met = rare.join(vocabulary.withColumnRenamed("word", "known_word"), F.col("word") == F.col("known_word"), "left")
+    form = F.crc32(F.expr("substring(CAST(word AS BINARY), greatest(octet_length(word) - 2, 1), 3)")) % FORM_UNITS
+    room = F.element_at(F.array(*[F.lit(float(x)) for x in model.room[classes[known.size :]]]), (form + 1).cast("int"))
+    c, times = F.coalesce("c", F.lit(0)), F.col("times")
+    none = F.lit(None).cast("string")
+    found = met.select(
+        "row", none.alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, times).otherwise(0).alias("n_known"),
+        (times * F.log10((c + F.lit(BASE_ADD)) / F.lit(float(model.base_room)))).alias("base"), (times * F.log10((c + F.lit(ADD)) / room)).alias("score"),
+    )
+    out = whole.unionByName(found).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
-    return out.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
