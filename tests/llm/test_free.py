@@ -513,13 +513,13 @@ def license_by_hand(text):
     w = license_words(text)
     places = [(k, label) for phrase, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
     best = {}
-    for b in range(0, max(len(w), 1), license_scan.BLOCK // 2):
-        block = set(w[b : b + license_scan.BLOCK])
-        for label, template in license_scan.TEMPLATES:
-            t = set(template.split())
-            share = len(t & block) / len(t)
-            if len(t & block) >= math.ceil(license_scan.THRESHOLD * len(t) - 1e-9):
-                best[label] = max(best.get(label, 0), share)
+    for label, template in license_scan.TEMPLATES:
+        t = set(license_words(template))
+        size = license_scan.block_size(len(license_words(template)))
+        for b in range(max(len(w) - size, 0) + 1):
+            n = len(t.intersection(w[b : b + size]))
+            if n >= math.ceil(license_scan.THRESHOLD * len(t) - 1e-9):
+                best[label] = max(best.get(label, 0), n / len(t))
     base = {label for _, label in places}
     starts = [k for k, _ in places]
     return (len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | best.keys())), pytest.approx(1.0 if base else max(best.values(), default=0.0)))
@@ -531,9 +531,11 @@ def test_license_scan_equals_brute_force(spark):
     for k in range(150):
         parts = [words(rng, rng.randrange(0, 60)) for _ in range(3)]
         for _ in range(rng.randrange(3)):
-            t = rng.choice(license_scan.TEMPLATES)[1].split()
-            for _ in range(rng.randrange(3)):
+            t = license_words(rng.choice(license_scan.TEMPLATES)[1])
+            for _ in range(rng.randrange(2 + len(t) // 10)):
                 t[rng.randrange(len(t))] = rng.choice(["x", "the", "license"])
+            for _ in range(rng.randrange(2 + len(t) // 8)):
+                t.insert(rng.randrange(len(t)), "foreign")
             parts.insert(rng.randrange(4), rng.choice([" ", "-", ", "]).join(t).upper())
         if rng.random() < 0.5:
             parts.insert(1, rng.choice(["CC BY cc-by", "MIT licenses", "the MIT/license", "Apache License"]))
@@ -547,6 +549,16 @@ def test_license_scan_equals_brute_force(spark):
     for r in got:
         labelled += bool(r.labels)
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == license_by_hand(texts[r.doc_id]), r.doc_id
+        w = license_words(texts[r.doc_id])
+        for x in r.blocks:
+            block, best = w[x.start : x.start + x.length], 0
+            for label, template in license_scan.TEMPLATES:
+                t, size = set(license_words(template)), license_scan.block_size(len(license_words(template)))
+                if label == x.label and len(block) >= min(size, len(w)):
+                    shares = [len(t.intersection(block[b : b + size])) / len(t) for b in range(max(len(block) - size, 0) + 1)]
+                    # every block of the run meets the threshold
+                    best = max(best, max(shares) if min(shares) >= license_scan.THRESHOLD - 1e-9 else 0)
+            assert best >= x.score - 1e-9
     assert labelled > 40
 
 
