@@ -475,6 +475,20 @@ def test_clustered_vectors_of_any_length(spark):
     assert np.mean(recall) >= 0.95
 
 
+def test_few_cells_are_probed_where_vectors_have_clusters(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(150, 32)), 80, axis=0) + rng.normal(0, 0.25, (12000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ivfpq.Index(x[:: 2], 64)
+    assert index.share_to_probe(x[::2], 20) < 0.2
+    flat = rng.normal(size=(4000, 64))
+    assert ivfpq.Index(flat, 64).share_to_probe(flat, 20) > 0.5
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ivfpq.search(df, F.col("vec_id") % 200 == 0, k=20).toPandas()
+    recall = [len(dict(nearest_by_hand(np.arange(12000), x, q, 20)).keys() & set(got[got.query_id == q].vec_id)) / 20 for q in range(0, 12000, 200)]
+    assert np.mean(recall) >= 0.93
+
+
 def test_ties_and_a_hot_vector(spark):
     """A third of all vectors are the same: chunks of a cell, ties to smaller ids."""
     rng = np.random.default_rng(7)
@@ -497,7 +511,7 @@ def test_vectors_odd_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (40, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [1.0]), (None, [1.0, 1.0]), (7, []), (20, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("cell", "codes", "query", "v", "q", "rank", "score")})
     got = ivfpq.search(df, F.col("vec_id") % 20 == 0, k=20).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 20, 1.0), (0, 3, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 6, 1.0), (0, 2, 20, 1.0), (0, 3, 20, 1.0), (0, 4, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 6, 1.0), (20, 3, 1, 0.5)]
     assert ivfpq.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ivfpq.search(df.filter("vec_id IN (2, 3)"), F.col("vec_id") % 20 == 0).count() == 0
 

@@ -2,17 +2,18 @@
 residuals, asymmetric distance tables, and exact reranking.
 
 Coarse centroids and codebooks are fitted on a bounded sample (SAMPLE vectors, by a hash of their ids); every vector is
-indexed. A query visits the cells whose centroids have the largest inner products with it (PROBED of them). In a cell, a
+indexed. A query visits the cells whose centroids have the largest inner products with it, as large a share of them as
+holds COVER of all near neighbours within the sample: few where vectors have clusters, most where they have none. (A whole
+table has nearer neighbours than its sample, whose cells come earlier, so that share is enough.) In a cell, a
 table of inner products of the query's parts with the codewords gives each vector's approximate score (cell part plus
 residual part); the RERANKED best per cell are scored exactly in double precision, ties going to the smaller vec_id, and
 so is every other vector whose approximate score plus the query's length times the vector's quantisation error reaches
 the k-th of those: the rest of the cell can't be among the k nearest.
 Cells are dealt to tasks in chunks of at most VECTOR_CHUNK vectors and QUERY_CHUNK queries, so a cell that holds a third
-of all vectors is many tasks. The share of cells probed is high because vectors without clusters need it: recall is
-measured against brute force in the tests.
+of all vectors is many tasks. Recall is measured against brute force in the tests.
 
-Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part, nor do those
-that are not of the commonest length (ties: the longer); a vector equal to the query's but under another id is a
+Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part; shorter ones
+than the longest count as if zeros followed; a vector equal to the query's but under another id is a
 candidate; rows that share an id are candidates each, but none of its own id's query, which has the least of their vectors; fewer candidates than k: all of them;
 an empty table: an empty result; further columns are ignored.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .labelled import draw_below
 
-SAMPLE, MIN_CELLS, MAX_CELLS, PROBED = 8192, 64, 1024, 0.7
+SAMPLE, MIN_CELLS, MAX_CELLS, COVER, ASKED = 8192, 64, 1024, 0.96, 512
 PARTS, WORDS, RERANKED = 16, 256, 192
 VECTOR_CHUNK, QUERY_CHUNK = 4096, 4096
 
@@ -87,6 +88,20 @@ class Index:
         n = np.maximum(enough, int(np.ceil(share * len(self.centroids))))
         return [cells[:m] for cells, m in zip(order, n, strict=True)]
 
+    def share_to_probe(self, sample: np.ndarray, k: int, cover: float = COVER, asked: int = ASKED) -> float:
+        """The share of the cells that holds so many of the k nearest neighbours, within the sample, of its first rows."""
+        q, k = sample[:asked], min(k, len(sample) - 1)
+        if k < 1:
+            return 1.0
+        scores = q @ sample.T
+        scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        turn = np.empty_like(order)
+        np.put_along_axis(turn, order, np.arange(order.shape[1])[None, :].repeat(len(q), 0), axis=1)
+        turns = np.sort(np.take_along_axis(turn, nearest(sample, self.centroids)[top], axis=1).ravel())
+        return float(turns[int(np.ceil(cover * len(turns))) - 1] + 1) / len(self.centroids)
+
     def approximate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distance tables: one row per query, one column per code."""
         parts = self._pad(q)
@@ -97,28 +112,37 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding of the rows that take part."""
+    """vec_id, embedding of the rows that take part; components of single precision stay so, which halves what moves."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)))
-    length = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.col("rows").desc(), F.col("n").desc()).first()
-    return rows.filter(F.size("embedding") == F.lit(length["n"] if length else 0))
+    return vectors.select("vec_id", e.cast(kind).alias("embedding")).filter(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
 def matrix(column: pd.Series, dim: int) -> np.ndarray:
-    return np.stack(column.to_list()).astype(float) if len(column) else np.zeros((0, dim))
+    """In double precision, with zeros behind shorter vectors."""
+    rows = column.to_list()
+    if rows and all(len(x) == dim for x in rows):
+        return np.stack(rows).astype(float)
+    out = np.zeros((len(rows), dim))
+    for at, x in zip(out, rows, strict=True):
+        at[: len(x)] = x
+    return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PROBED, reranked: int = RERANKED, cells: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float | None = None, reranked: int = RERANKED, cells: int | None = None) -> DataFrame:
     """vectors: vec_id, embedding; is_query: on vec_id. query_id, rank, vec_id, score: the k nearest found, nearest first."""
     rows = usable(vectors)
-    n = rows.count()
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    kind = dict(rows.dtypes)["embedding"]
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     cells = cells or int(min(max(n**0.5 / 8, MIN_CELLS), MAX_CELLS))
     drawn = rows.filter(draw_below(F.xxhash64("vec_id"), SAMPLE, n))
     sample = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # SAMPLE rows at most
-    index = Index(matrix(sample["embedding"], 0), cells)
+    points = matrix(sample["embedding"], dim)
+    index = Index(points, cells)
+    share = index.share_to_probe(points, k) if probed is None else probed
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -126,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
                 cell, codes, lost = index.encode(matrix(b["embedding"], index.dim))
                 yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "cell": cell, "codes": [c.tobytes() for c in codes], "lost": lost})
 
-    indexed = written(rows.mapInPandas(encode, "vec_id long, embedding array<double>, cell int, codes binary, lost double"), "ivf-index")
+    indexed = written(rows.mapInPandas(encode, f"vec_id long, embedding {kind}, cell int, codes binary, lost double"), "ivf-index")
 
     sizes = np.zeros(len(index.centroids), np.int64)
     for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # MAX_CELLS rows at most
@@ -135,11 +159,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probed: float = PR
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cells = index.probes(matrix(b["embedding"], index.dim), probed, sizes, 4 * k)
+                cells = index.probes(matrix(b["embedding"], index.dim), share, sizes, 4 * k)
                 yield pd.DataFrame({"query_id": b["vec_id"], "query": b["embedding"], "cells": cells})
 
     chosen = rows.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = written(chosen.mapInPandas(probe, "query_id long, query array<double>, cells array<int>"), "ivf-queries")
+    queries = written(chosen.mapInPandas(probe, f"query_id long, query {kind}, cells array<int>"), "ivf-queries")
     asked = queries.select("query_id", "query", F.explode("cells").alias("cell"))
     held = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTOR_CHUNK).cast("int").alias("v_parts"))
     wanted = queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("q_parts"))
