@@ -8,7 +8,7 @@ when first met and kept, so a word costs a dict look-up per character and most e
 Each hit is weighed by its context, WINDOW words to either side: quotation marks and verbs of saying lower it, other
 hits, words of address and a break in the sentence raise it. A logistic regression over the sums scores the document;
 its features come from a lexicon that was learned on the other half of the sample, so terms seen in one row only are
-not overrated. The model is at most TERMS terms and a few numbers. Scoring is one scan without a shuffle.
+not overrated. The lexicon has no size of its own: it holds all terms that enough toxic documents of the sample share. Scoring is one scan without a shuffle.
 
 Defined cases: null text counts as empty and is scored; without any learning rows, or with one class only, every text
 scores that class's share (0.5 if there are none); an empty table: an empty result; repeated rows: repeated results;
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import labelled
 from .common import worker_cache
 
-THRESHOLD, TERMS, WINDOW = 0.5, 300, 8
+THRESHOLD, WINDOW = 0.5, 8
 #: A term is held by so many toxic documents, and by this share of them, at least; its log-odds are MIN_ODDS at least.
 MIN_DOCS, MIN_SHARE, MIN_ODDS, STEM_CHARS = 3, 0.01, 2.0, (5, 8)
 
@@ -226,12 +226,12 @@ def weigh_terms(counts: pd.DataFrame, toxic: int, clean: int) -> dict[str, float
             if whole[:cut] + "*" != term[k]:
                 most[whole[:cut] + "*"] = max(most.get(whole[:cut] + "*", 0), t[k])
     keep &= np.array([most.get(x, 0) < 0.9 * n for x, n in zip(term, t, strict=True)], bool)
-    order = sorted(np.flatnonzero(keep), key=lambda k: (-gain[k], term[k]))[:TERMS]
+    order = sorted(np.flatnonzero(keep), key=lambda k: (-gain[k], term[k]))
     return {term[k]: float(odds[k]) for k in order}
 
 
 def candidate_terms(text: str) -> set[str]:
-    found = {b for w in set(words_of(text)) if 3 <= len(b := bare(w)) <= 32}
+    found = {b for w in set(words_of(text)) if len(b := bare(w)) >= 3}
     return found | {w[:k] + "*" for w in found for k in range(STEM_CHARS[0], min(STEM_CHARS[1], len(w) - 1) + 1)}
 
 
@@ -261,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLAS
     t, c = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
     odds = F.log((t + 0.5) / (n(1, (0, 1)) + 1)) - F.log((c + 0.5) / (n(0, (0, 1)) + 1))
     worth = (t >= max(MIN_DOCS, MIN_SHARE * n(1, (0, 1)))) & (odds >= MIN_ODDS / 2)  # a fold may rate a term higher
-    table = sums.filter(worth).orderBy((t * odds).desc(), "term").limit(50 * TERMS).toPandas()
+    table = sums.filter(worth).toPandas()  # bounded by the sample: at most a hundred times as many terms as one of its toxic documents holds
     if not n(0, (0, 1)) or not n(1, (0, 1)):
         flat = min(max(share, 1e-3), 1 - 1e-3)
         return Model({}, None, 0.0, math.log(flat / (1 - flat)))
