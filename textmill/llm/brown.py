@@ -210,15 +210,37 @@ def _bigrams(encoded: DataFrame, classes: SharedArray, kinds: int) -> np.ndarray
                 codes.append(np.append(0, c) * kinds + np.append(c, 0))
             if codes:
                 table += np.bincount(np.concatenate(codes), minlength=kinds * kinds)
-        code = np.flatnonzero(table)
-        yield pd.DataFrame({"code": code, "n": table[code]})
+        yield packed(table, _SLICE)
 
-    rows = encoded.filter("learn").select("numbers").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # kinds**2 rows at most
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": b["part"].iloc[:1], "counts": [unpacked(b["counts"]).tobytes()]})
+
+    parts = encoded.filter("learn").select("numbers").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
     out = np.zeros(kinds * kinds)
-    out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+    for r in parts.collect():  # kinds**2 numbers at most
+        mine = np.frombuffer(r["counts"], np.int64)
+        out[r["part"] * _SLICE : r["part"] * _SLICE + len(mine)] = mine
     return out.reshape(kinds, kinds)
 
 
+#: Numbers of a table that are summed up in one task.
+_SLICE = 1 << 15
+
+
+def packed(table: np.ndarray, step: int) -> pd.DataFrame:
+    """part, counts: the parts of a task's table that are not all zero, compressed."""
+    some = [k for k in range(0, len(table), step) if table[k : k + step].any()]
+    return pd.DataFrame({"part": np.array(some, np.int32) // step, "counts": [zlib.compress(table[k : k + step].tobytes(), 1) for k in some]})
+
+
+def unpacked(counts: pd.Series, kind=np.int64) -> np.ndarray:
+    """The sum of one part of all tasks' tables."""
+    total = 0
+    for x in counts:
+        total = total + np.frombuffer(zlib.decompress(x), kind).astype(np.int64)
+    return total
+
+
 class SharedArray:
     """An array that tasks read; plain bytes are broadcast."""
 
@@ -268,19 +290,16 @@ def place_words(encoded: DataFrame, classes: np.ndarray, pairs: np.ndarray, n_wo
                 if sum(map(len, held)) > _CODES:
                     add()
         add()
-        step = _RANGE * width
-        some = [k for k in range(0, len(table), step) if table[k : k + step].any()]
-        if some:
-            yield pd.DataFrame({"range": [k // step for k in some], "counts": [zlib.compress(table[k : k + step].tobytes(), 1) for k in some]})
+        yield packed(table, _RANGE * width)
 
     def place(b: pd.DataFrame) -> pd.DataFrame:
-        first = int(b["range"].iloc[0]) * _RANGE
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(float) for x in b["counts"]).reshape(-1, 2, CLASSES)
+        first = int(b["part"].iloc[0]) * _RANGE
+        total = unpacked(b["counts"], np.uint32).astype(float).reshape(-1, 2, CLASSES)
         met = np.flatnonzero(total[:, 0].sum(1))
         return pd.DataFrame({"place": first + met, "class": best_classes(total[met, 0], total[met, 1], pairs)})
 
-    parts = encoded.filter("learn").select("numbers").mapInPandas(run, "range int, counts binary")
-    rows = parts.groupBy("range").applyInPandas(place, "place int, class int").toPandas()  # n_words rows at most
+    parts = encoded.filter("learn").select("numbers").mapInPandas(run, "part int, counts binary")
+    rows = parts.groupBy("part").applyInPandas(place, "place int, class int").toArrow().to_pandas()  # n_words rows at most
     out = classes[:n_words].copy()
     out[rows["place"].to_numpy(np.int64)] = rows["class"].to_numpy(np.int64)
     return out
@@ -348,9 +367,10 @@ def score_texts(docs: DataFrame, head_size: int = HEAD, clustered: int = CLUSTER
     vocabulary = written(count_words(learning), "brown-vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
-    top = frequent(vocabulary, head_size).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    top = frequent(vocabulary, head_size).toArrow().to_pandas().sort_values(["c", "word"], ascending=[False, True])
     head = SharedHead(spark, top["word"].tolist(), top["c"].tolist())  # head_size words of HEAD_BYTES at most
     known = Head([w.encode() for w in top["word"]], top["c"].to_numpy(np.int64))
+    del top
     encoded = encode(docs, head)
     classes, pairs = cluster(encoded, known, clustered)
     shared = SharedArray(spark, classes)
