@@ -167,6 +167,34 @@ def test_window_fills_sequences():
             assert [s for s, _ in mine] == np.cumsum([0] + [n for _, n in mine])[:-1].tolist()
 
 
+def test_window_equals_plain_placement():
+    """Written down plainly: descending rests, each to the sequence of least cost with room, else cut to fill the widest."""
+    rng = random.Random(21)
+    for lengths in ([rng.randrange(1, 5000) for _ in range(200)], [700] * 90, [2047, 2, 1, 1, 2047], [4096], [5], []):
+        want, rests, full = [], [], 0
+        for d, n in enumerate(lengths):
+            start = 0
+            while n - start >= 2048:
+                want.append((d, start, 2048, full, 0))
+                start, full = start + 2048, full + 1
+            if n > start:
+                rests.append((d, start, n - start))
+        total = sum(n for _, _, n in rests)
+        sizes = [2048] * (total // 2048) + [1 << b for b in range(11) if total % 2048 >> b & 1]
+        used, cost = [0] * len(sizes), [0.0] * len(sizes)
+        for d, start, n in sorted(rests, key=lambda r: (-r[2], r[0])):
+            while n:
+                wide = [k for k in range(len(sizes)) if sizes[k] - used[k] >= n]
+                k = min(wide, key=lambda k: cost[k]) if wide else max(range(len(sizes)), key=lambda k: sizes[k] - used[k])
+                take = min(n, sizes[k] - used[k])
+                want.append((d, start, take, full + k, used[k]))
+                used[k] += take
+                cost[k] += take + take * take / 2048
+                start, n = start + take, n - take
+        assert sorted(packing.pack_window(lengths)) == sorted(want)
+        assert used == sizes
+
+
 def test_costs_are_balanced():
     rng = random.Random(8)
     lengths = [rng.choice([30, 100, 400, 1500]) for _ in range(2000)]
