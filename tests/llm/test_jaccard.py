@@ -83,6 +83,22 @@ def test_stage_keeps_one_of_each_group_of_similar_documents(spark):
     assert {r.doc_id for r in got.collect()} == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_pairs_of_busy_nodes_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    pairs = [(0, k) for k in range(1, 41)] + [(k, 50) for k in range(1, 11)] + [(60, 61)]
+    table = jaccard.written(spark.createDataFrame(pairs, "a long, b long"), "pairs")
+    busy = jaccard.busy_nodes(table)
+    assert {(r["node"], r["parts"]) for r in busy.collect()} == {(0, 14), (50, 4)}
+    things = spark.createDataFrame([(k, f"v{k}") for k in range(62)], "node long, v string")
+    met = jaccard.with_both(table, jaccard.in_parts(things, busy), "v", busy)
+    assert sorted(map(tuple, met.select("a", "b", "x", "y").collect())) == sorted((a, b, f"v{a}", f"v{b}") for a, b in pairs)
+
+
+def test_groups_equal_brute_force_with_busy_nodes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    test_groups_equal_brute_force(spark, jaccard.CHUNK)
+
+
 def test_odd_cases(spark):
     got = jaccard.near_groups(odd_docs(spark)).collect()
     assert len(got) == odd_docs(spark).count()
