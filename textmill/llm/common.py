@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_root, written
 
-__all__ = ["SPACE_CLASS", "WORD_PATTERN", "crc32_mod", "shared_root", "table", "worker_cache", "written"]
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "crc32_mod", "release_memory", "shared_root", "table", "worker_cache", "written"]
 
 #: ASCII white space as the contracts define it: space and U+0009..U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -29,3 +31,16 @@ def crc32_mod(col: Column, n: int) -> Column:
 def worker_cache() -> dict:
     """A dict that lives as long as the Python process, for models that each task would otherwise load anew."""
     return sys.modules.setdefault("_textmill_worker_cache", types.ModuleType("_textmill_worker_cache")).__dict__
+
+
+def release_memory() -> None:
+    """Hands memory that a Python worker has freed back to the system: workers are used again by later stages, and what
+    their allocators keep counts against the executor."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import release_memory, worker_cache
 
 CAPACITY, END_ID, WINDOW = 2048, 1, 1 << 20
 #: Cost of a token, and of a token pair in attention, in units of the former.
@@ -120,6 +120,7 @@ def pack(docs: DataFrame, paths: tuple[str, str, str], capacity: int = CAPACITY,
         cache = worker_cache()
         encode = cache.get(("encoder", paths))
         if encode is None:
+            release_memory()  # of stages before
             encode = cache[("encoder", paths)] = Encoder(*paths)
         first = TaskContext.get().partitionId() << 33
         ids, docs_, held = [], [], 0
