@@ -1,6 +1,8 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textmill.llm import jaccard, simhash
@@ -99,6 +101,26 @@ def test_groups_equal_brute_force_with_busy_nodes(spark, monkeypatch):
     test_groups_equal_brute_force(spark, jaccard.CHUNK)
 
 
+def test_similar_at_the_threshold(spark):
+    cases = [(n, m, both) for n in range(13) for m in range(13) for both in range(min(n, m) + 1)]
+    sets = [(list(range(n)), list(range(n - both, n - both + m)), both / max(n + m - both, 1) >= 0.8) for n, m, both in cases]
+    rows = spark.createDataFrame(sets, "a array<long>, b array<long>, want boolean")
+    assert rows.filter(jaccard.similar(F.col("a"), F.col("b")) != F.col("want")).count() == 0
+
+
+def test_pairs_of_sets_are_compared_without_python(spark):
+    docs = spark.createDataFrame(near_rows(), "doc_id long, text string")
+    nodes, _ = jaccard.nodes_and_counts(docs)
+    ends = [r.node for r in nodes.select("node").distinct().orderBy("node").collect()]
+    pairs = spark.createDataFrame([(a, b) for k, a in enumerate(ends) for b in ends[k + 1 :]], "a long, b long")
+    met = jaccard.verified(pairs, docs, nodes, jaccard.SHINGLE, jaccard.SIMILARITY)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search("Pandas|Python|Arrow", plan.split("Join", 1)[0])  # what stands above the joins
+    sets = {jaccard.node_of(jaccard.shingles((t or "").encode())): shingle_set(t) for _, t in near_rows()}
+    want = {(a, b) for a, b in pairs.collect() if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and (sets[a] or sets[b])}
+    assert {(r.a, r.b) for r in met.collect()} == want and len(want) > 20
+
+
 def test_odd_cases(spark):
     got = jaccard.near_groups(odd_docs(spark)).collect()
     assert len(got) == odd_docs(spark).count()
