@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,48 @@ def test_pairs_of_sets_are_compared_without_python(spark):
     assert {(r.a, r.b) for r in met.collect()} == want and len(want) > 20
 
 
+def group_on_the_threshold(rng, size):
+    """Copies with one or two words changed: of two with two, the similarity is below 0.8, of all other pairs not."""
+    base, rows = words(rng, 150).split(), []
+    for k in range(size):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), 1 if k % 8 == 0 else 2):
+            copy[at] = words(rng, 1)
+        rows.append((k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [jaccard.CHUNK, 60])
+def test_links_are_linear_in_a_dense_group(spark, chunk):
+    rows = group_on_the_threshold(random.Random(21), 240)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes, counts = jaccard.nodes_and_counts(docs)
+    links = jaccard.near_links(docs, nodes, counts, chunk=chunk).collect()
+    chunks = -(-len(rows) // chunk)
+    assert len(links) < len(rows) * (1 + chunks * (chunks + 1) // 2)
+    kept = {r.doc_id for r in jaccard.keep_one(docs, chunk=chunk).collect()}
+    assert kept == kept_by_hand(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_links_of_a_block_equal_brute_force(parts):
+    rng = random.Random(5)
+    sets = sorted(({t for t in range(60) if rng.random() < 0.93} | {100 + rng.randrange(40)} for _ in range(80)), key=len)
+    root, part = [k // 2 for k in range(80)], [k % parts for k in range(80)]
+    found = [np.sort(np.array([hash((t, 7)) % 2**64 for t in s], np.uint64)) for s in sets]
+    pairs = [(i, j) for j in range(80) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (parts == 1 or part[i] != part[j])]
+    links = jaccard.block_links(found, np.array(root), np.array(part), 0.8)
+
+    def joined(links):
+        of = list(root)
+        for i, j in links:
+            of = [min(of[i], of[j]) if r in (of[i], of[j]) else r for r in of]
+        return of
+
+    assert set(links) <= set(pairs) and joined(links) == joined(pairs)
+    assert len(links) == len(set(root)) - len(set(joined(links))) > 5
+
+
 def test_odd_cases(spark):
     got = jaccard.near_groups(odd_docs(spark)).collect()
     assert len(got) == odd_docs(spark).count()
