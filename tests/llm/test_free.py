@@ -125,6 +125,21 @@ def test_near_groups_odd_cases(spark):
     assert kept.columns == odd_docs(spark).columns
 
 
+def test_near_groups_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Neither sizes of keys nor components nor documents go through the driver, however small Spark takes them to be."""
+    plans, write = [], simhash.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 0, raising=False)
+    noted(simhash.near_groups(spark.read.parquet(str(DATA / "sf0.001/documents.parquet"))), "all")
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(200)]
     star = [(1000, 1000 + k) for k in range(1, 50)] + [(5000, 5000)]

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: A graph of more edges is joined by sorting. Ids of few components are stored in next to no bytes, so that Spark would
+#: broadcast more than a million rows by way of the driver.
+BROADCAST_EDGES = 1 << 16
+
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return r[0], r[1]
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, merge: bool) -> DataFrame:
     """Each node's neighbours are linked to the least node among them and itself. Minima are merged before the shuffle."""
     if small:
         seen = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -21,7 +25,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # written, so that the join deals both sides itself and Spark can split a node with very many neighbours
     least = written(seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
-    joined = seen.join(least, F.col("u") == F.col("w"))
+    joined = seen.join(least.hint("merge") if merge else least, F.col("u") == F.col("w"))
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("w").alias("a"), F.col("m").alias("b")))
     else:
@@ -37,7 +41,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = written(_star(_star(now, small=False), small=True), "edges")
+        merge = state[0] > BROADCAST_EDGES
+        now = written(_star(_star(now, False, merge), True, merge), "edges")
         after = _state(now)
         if after == state:
             break

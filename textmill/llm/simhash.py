@@ -112,7 +112,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)]))
     # a member of a key: xxhash64 may join two keys by chance, which only adds candidates
     sizes = points.select(keys.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = points.select("fp", "pivots", keys.alias("key")).join(sizes, "key")
+    # merged, as all joins here: Spark takes the keys to be as many as the fingerprints and would broadcast millions of them
+    members = points.select("fp", "pivots", keys.alias("key")).join(sizes.hint("merge"), "key")
     parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     members = members.withColumn("parts", parts).withColumn("mine", mine)
@@ -161,11 +162,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, c
     rows = written(fingerprints(docs, shingle), "simhash-fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(near_links(points.select("fp"), radius, chunk))
-    placed = points.join(found, points["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = points.join(found.hint("merge"), points["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that Spark can split a group that holds very many fingerprints
     least = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    named = placed.join(least, "root").select(F.col("fp").alias("p_fp"), "component_id")
-    out = rows.join(named, rows["fp"] == named["p_fp"])
+    named = placed.join(least.hint("merge"), "root").select(F.col("fp").alias("p_fp"), "component_id")
+    out = rows.join(named.hint("merge"), rows["fp"] == named["p_fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
